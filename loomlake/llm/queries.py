@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import neardup, overlap, sampling, splits
+from loomlake.llm import answers, neardup, overlap, sampling, splits
 from loomlake.llm.sql import SQL  # noqa: F401
 from loomlake.workspace import table
 
@@ -39,8 +39,12 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "samples"), table(spark, d, "split_targets"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defective_answers(table(spark, d, "samples"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "samples")).select("sample_id", "group_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p5_found, p6_found)}
