@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import answers, neardup, overlap, sampling, splits
+from loomlake.llm import answers, leakage, neardup, overlap, pieces, sampling, splits
 from loomlake.llm.sql import SQL  # noqa: F401
 from loomlake.workspace import table
 
@@ -39,6 +39,14 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "samples"), table(spark, d, "split_targets"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_report(spark, d).where("exact").select("item_id", "sample_id").distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "samples"), table(spark, d, "eval_items"), table(spark, d, "split_rows"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.defective_answers(table(spark, d, "samples"))
 
@@ -47,4 +55,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "samples")).select("sample_id", "group_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p5_found, p6_found)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pieces(spark, d).where("piece = 0").select("chunk_id", "kind")
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, d, "chunks"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p7_found, p7_pieces)}
