@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import answers, leakage, neardup, overlap, pieces, sampling, splits
+from loomlake.llm import answers, leakage, neardup, overlap, pieces, sampling, splits, tokens
 from loomlake.llm.sql import SQL  # noqa: F401
 from loomlake.workspace import table
 
@@ -63,4 +63,8 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p7_found, p7_pieces)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p7_found, p7_pieces, p8_ids)}
