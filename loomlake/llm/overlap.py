@@ -165,9 +165,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            near = pairing.similarity(ta, tb, SEQUENCE)
+            if near < SIMILARITY:
+                continue
             wa, wb = words(ta), words(tb)
             matched, runs = align(wa, wb)
-            out.append((a, b, pairing.similarity(ta, tb, SEQUENCE), matched / len(wa), matched / len(wb), runs))
+            out.append((a, b, near, matched / len(wa), matched / len(wb), runs))
         columns = list(zip(*out, strict=True)) or [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "similarity", "cover_a", "cover_b", "runs"])
@@ -209,7 +212,7 @@ def overlapping_nodes(samples: DataFrame, split_rows: DataFrame, cap: int = pair
     kept = pairing.with_texts(near, nodes, texts, "near").select("a", "b", "ta", "tb").mapInArrow(
         _compare, "a long, b long, similarity double, cover_a double, cover_b double, runs int"
     )
-    return stored(kept.where(F.col("similarity") >= SIMILARITY), "overlaps"), member
+    return stored(kept, "overlaps"), member
 
 
 def cross_split_overlaps(samples: DataFrame, split_rows: DataFrame, cap: int = pairing.CAP) -> DataFrame:
