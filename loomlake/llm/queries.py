@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import answers, leakage, neardup, overlap, pieces, sampling, splits, tokens
+from loomlake.llm import answers, leakage, neardup, overlap, packing, pieces, sampling, splits, tokens
 from loomlake.llm.sql import SQL  # noqa: F401
 from loomlake.workspace import table
 
@@ -67,4 +67,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p7_found, p7_pieces, p8_ids)}
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    encoder = tokens.Encoder(spark).learn(documents)
+    sized = documents.select("doc_id", F.size(encoder.encode("text")).alias("tokens"))
+    return packing.packed(sized, "doc_id", "tokens").withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_containers(spark, d).where("piece > 0").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p9_found)}
