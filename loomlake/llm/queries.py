@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import answers, leakage, neardup, overlap, packing, pieces, sampling, splits, tokens
+from loomlake.llm import answers, leakage, neardup, overlap, packing, pieces, residue, sampling, splits, tokens
 from loomlake.llm.sql import SQL  # noqa: F401
 from loomlake.workspace import table
 
@@ -78,4 +78,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_containers(spark, d).where("piece > 0").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_residue(spark, d).select("doc_id")
+
+
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p9_found, p10_found, p10_residue)}
