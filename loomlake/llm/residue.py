@@ -121,7 +121,7 @@ _NAME = r"[A-Za-z][A-Za-z]*(?:[ _-][A-Za-z]+){0,3}"
 SLOT = re.compile(
     rf"""\{{\{{\s*{_NAME}\s*\}}\}} | \{{%\s*{_NAME}\s*%\}} | \$\{{\s*{_NAME}\s*\}} | <%=?\s*{_NAME}\s*%> | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | «\s*[a-z_A-Z]+\s*»
     | (?<![\w$\{{\\])\{{[A-Za-z]+(?:_[A-Za-z]+)*\}}(?!\}}) | @@\s*{_NAME}\s*@@ | (?<!\w)__[A-Za-z]+(?:_[A-Za-z]+)*__(?!\w) | (?<![\w%])%[A-Za-z]+(?:_[A-Za-z]+)*%(?!\w)
-    | (?<![\w\#])\#[A-Z]+(?:_[A-Z]+)*\#(?!\w)
+    | (?<![\w\#])\#[A-Za-z]{{3,}}(?:_[A-Za-z]+)*\#(?!\w) | (?<![\w\$])\$[A-Za-z]{{3,}}(?:_[A-Za-z]+)*\$(?!\w) | <!--[^>]*\b(?i:replace|insert|placeholder|todo|tbd|fill\s+in)\b[^>]*-->
     | \[(?i:insert|enter|your|add|placeholder|todo|tbd)\b[^\]\n]{{0,40}}\] | \[[a-z]+(?:_[a-z]+)*\](?!\() | \[[A-Z]{{3,}}(?:_[A-Z]+)*\](?!\()
     | <(?i:insert|enter|your)\b[^>\n]{{0,40}}> | <(?!/)[a-z]+(?:_[a-z]+)+> | <[A-Z]{{3,}}(?:_[A-Z]+)*> | <(?:{"|".join("agent amount branch customer date fee name product ref reference signature total account case".split())})>
     | (?<!\w)_{{3,}}(?!\w) | \b(?:DD[/.-]MM[/.-]YYYY|MM[/.-]DD[/.-]YYYY|YYYY-MM-DD|TT\.MM\.JJJJ|JJ/MM/AAAA|DD/MM/AAAA)\b
