@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from loomlake.plans import corpus, evaluation, integrity, retrieval, samples, sources, streams  # noqa: F401
+from loomlake.plans.registry import QUERIES, SQL  # noqa: F401
+
 FLAGSHIP = "run_summary"
