@@ -1 +1,269 @@
+"""Queries over documents, chunks and embeddings: tokenising, ranking, chunking, scoring."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomlake.functions import text as tx
+from loomlake.operators import chunking, retrieval
+from loomlake.plans.registry import query
+from loomlake.workspace import table
+
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+WS = r"CASE WHEN trim(regexp_replace(lower(text), '\s+', ' ', 'g')) = '' THEN [] ELSE string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') END"
+
+
+@query(f"SELECT doc_id, md5(array_to_string({WORDS}, ' ')) AS tokens, len({WORDS}) AS n FROM documents WHERE text IS NOT NULL")
+def tokenize_word(spark, d):
+    w = tx.tokenize_word("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.array_join(w, " ")).alias("tokens"), F.size(w).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, len({WS}) AS n, md5(array_to_string({WS}, '|')) AS tokens FROM documents WHERE text IS NOT NULL")
+def tokenize_ws(spark, d):
+    w = tx.tokenize_ws("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, "|")).alias("tokens"))
+
+
+P = f"""tok AS (SELECT doc_id, {WORDS} AS w FROM documents), p AS (SELECT doc_id, len(w) AS len, t AS term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM tok) GROUP BY 1, 2, 3),
+ n AS (SELECT count(*) AS docs, avg(len(w)) AS average FROM tok WHERE w IS NOT NULL), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+ raw AS (SELECT term, df, ln((docs - df + 0.5e0) / (df + 0.5e0)) AS idf FROM df, n), mi AS (SELECT avg(idf) AS mean FROM raw), idf AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25e0 * mean ELSE idf END AS idf FROM raw, mi)"""
+SCORES = r"""q AS (SELECT item_id, t AS term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')) AS t FROM eval_items) GROUP BY 1, 2),
+ sc AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / average))), 6) AS score FROM q JOIN idf USING (term) JOIN p USING (term), n GROUP BY 1, 2)"""
+TOPK = "top AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM sc QUALIFY rank < 5)"
+
+
+@query(f"WITH {P} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_build(spark, d):
+    docs = table(spark, d, "documents")
+    posted = retrieval.postings(docs, "doc_id", "text")
+    n = docs.where("text IS NOT NULL").count()
+    return retrieval.idf(posted, n, "doc_id").withColumn("idf", F.round("idf", 6))
+
+
+def _scores(spark, d):
+    return retrieval.bm25_scores(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question")
+
+
+@query(f"WITH {P}, {SCORES} SELECT item_id, count(*) AS documents, round(max(score), 2) AS best, round(sum(score), 0) AS total FROM sc GROUP BY 1")
+def bm25_score(spark, d):
+    return _scores(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("score"), 2).alias("best"), F.round(F.sum("score"), 0).alias("total"))
+
+
+@query(f"WITH {P}, {SCORES}, {TOPK} SELECT item_id, doc_id, rank FROM top WHERE score > 0")
+def bm25_topk(spark, d):
+    return retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).select("item_id", "doc_id", "rank")
+
+
+@query(f"WITH {P}, {SCORES}, {TOPK} SELECT item_id, doc_id, score FROM top WHERE score > 0")
+def retrieve(spark, d):
+    return retrieval.rank_with(table(spark, d, "documents"), table(spark, d, "eval_items"), "bm25").select("item_id", "doc_id", "score")
+
+
+@query(f"WITH {P}, {SCORES}, {TOPK} SELECT item_id, array_to_string(list(doc_id || ':' || md5(coalesce(substr(text, 1, 200), '')) ORDER BY rank), ',') AS cited FROM top JOIN documents USING (doc_id) WHERE score > 0 GROUP BY 1")
+def citations(spark, d):
+    docs = table(spark, d, "documents")
+    hits = retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).join(docs.select("doc_id", "text"), "doc_id")
+    cited = F.transform("citations", lambda c: F.concat(c["doc_id"].cast("string"), F.lit(":"), F.md5(F.coalesce(c["excerpt"], F.lit("")))))
+    return retrieval.citations(hits, "item_id").select("item_id", F.array_join(cited, ",").alias("cited"))
+
+
+@query(f"WITH {P}, {SCORES}, {TOPK}, l AS (SELECT item_id, list(text ORDER BY rank) AS t FROM top JOIN documents USING (doc_id) WHERE score > 0 GROUP BY 1) SELECT item_id, md5(array_to_string(['[' || i || '] ' || substr(t[i], 1, 600) FOR i IN range(1, len(t) + 1)], chr(10))) AS context FROM l")
+def topk_context(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    hits = retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).join(docs, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
+    return hits.select("item_id", F.md5(retrieval.numbered_context(F.transform("h", lambda x: x["text"]))).alias("context"))
+
+
+@query(f"WITH {P}, {SCORES}, {TOPK}, l AS (SELECT item_id, list(text ORDER BY rank) AS t FROM top JOIN documents USING (doc_id) WHERE score > 0 GROUP BY 1) SELECT item_id, md5(array_to_string([substr(x, 1, 500) FOR x IN t[1:3]], chr(10))) AS context FROM l")
+def verify_context(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    hits = retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).join(docs, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
+    return hits.select("item_id", F.md5(F.array_join(F.transform(F.slice("h", 1, 3), lambda x: F.substring(x["text"], 1, 500)), "\n")).alias("context"))
+
+
+UNION = """h AS (SELECT item_id, 0 AS qi, rank, doc_id FROM top WHERE score > 0 UNION ALL SELECT 'item-' || lpad(CAST(CAST(substr(item_id, 6) AS INT) + 1 AS VARCHAR), 4, '0'), 1, rank, doc_id FROM top WHERE score > 0)"""
+
+
+@query(f"WITH {P}, {SCORES}, {TOPK}, {UNION} SELECT item_id, doc_id, qi AS query_index FROM h QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY qi, rank) = 1")
+def retrieval_union_dedup(spark, d):
+    """Hits of an item's own question and of the item before it stand for two plan queries."""
+    best = retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).select("item_id", "rank", F.col("doc_id").alias("id"), F.lit("").alias("document"))
+    later = F.concat(F.lit("item-"), F.lpad((F.substring("item_id", 6, 9).cast("int") + 1).cast("string"), 4, "0"))
+    hits = best.withColumn("query_index", F.lit(0)).unionByName(best.withColumn("item_id", later).withColumn("query_index", F.lit(1)))
+    return retrieval.merged(hits, "item_id").select("item_id", F.col("id").alias("doc_id"), "query_index")
+
+
+@query("""WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), u AS (SELECT vec_id, [x / sqrt(list_sum([y * y FOR y IN e])) FOR x IN e] AS e FROM v),
+ s AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_sum([q.e[i] * u.e[i] FOR i IN range(1, len(u.e) + 1)]), 6) AS score FROM u q, u WHERE q.vec_id % 20 = 0)
+ SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s QUALIFY rank < 5""")
+def dense_topk(spark, d):
+    """Every vector whose id is divisible by 20, against all vectors."""
+    v = table(spark, d, "embeddings")
+    return retrieval.cosine_top(v, v.where("vec_id % 20 = 0"), 5)
+
+
+@query("SELECT doc_id, s AS start, md5(substr(text, CAST(s + 1 AS BIGINT), 400)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 350)) AS s FROM documents WHERE length(text) > 0)")
+def chunk_char(spark, d):
+    return chunking.by_characters(table(spark, d, "documents"), "doc_id", "text", 400, 50).withColumn("chunk", F.md5("chunk"))
+
+
+@query("""WITH l AS (SELECT doc_id, text, i, x FROM (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents)),
+ p AS (SELECT doc_id, i, x, length(text) AS size, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, trim(x, ' ') = '' AS blank FROM l),
+ g AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p)
+ SELECT doc_id, doc_id || '::' || min(pos) AS clause_id, CAST(min(pos) AS BIGINT) AS start, CAST(least(max(pos + length(x) + 1), max(size)) AS BIGINT) AS "end", array_to_string(list(trim(x, ' ') ORDER BY i), ' ') AS text FROM g WHERE NOT blank GROUP BY doc_id, run""")
+def segment_paragraphs(spark, d):
+    return chunking.paragraphs(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def chunk_policy(spark, d):
+    return chunking.by_policy(table(spark, d, "documents"), "doc_id", "text", 128, 16)
+
+
+@query()
+def index_kb(spark, d):
+    """Chunks of the documents with their terms counted: what a rebuilt index holds."""
+    chunks = chunking.by_policy(table(spark, d, "documents"), "doc_id", "text").select(F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("chunk_id"), F.col("chunk").alias("text"))
+    return retrieval.postings(chunks, "chunk_id", "text").groupBy("chunk_id").agg(F.count("*").alias("terms"), F.max("len").cast("long").alias("words"))
+
+
+@query("SELECT vec_id, len(embedding) AS dimension, round(sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 4) AS norm FROM embeddings")
+def embed(spark, d):
+    """Vectors come from the table; a model would be an injected Arrow function."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dimension"), F.round(norm, 4).alias("norm"))
+
+
+# scores of answers: the item's answer is expected, the next item's answer predicted, or its question
+PAIR = "WITH e AS (SELECT *, lead(answer) OVER (ORDER BY item_id) AS next FROM eval_items)"
+
+
+def _pairs(spark, d):
+    from pyspark.sql import Window
+
+    return table(spark, d, "eval_items").withColumn("next", F.lead("answer").over(Window.orderBy("item_id")))  # the fixed table of 300
+
+
+@query(PAIR + """ SELECT item_id, CASE WHEN coalesce(answer, '') = '' THEN CASE WHEN coalesce(next, '') = '' THEN 1e0 ELSE 0e0 END WHEN lower(trim(answer)) = lower(trim(coalesce(next, ''))) THEN 1e0
+ WHEN contains(lower(trim(coalesce(next, ''))), lower(trim(answer))) THEN 0.8e0 ELSE 0e0 END AS score FROM e""")
+def score_answer(spark, d):
+    return _pairs(spark, d).select("item_id", tx.score_answer(F.col("answer"), F.col("next")).alias("score"))
+
+
+@query("""WITH x AS (SELECT run_id, task_id, trial, saved_at, list_distinct([lower(trim(a)) FOR a IN coalesce(expected_actions, [])]) AS e, list_distinct([lower(trim(a)) FOR a IN coalesce(actions, [])]) AS p FROM task_results)
+ SELECT run_id, task_id, trial, saved_at, round(CASE WHEN len(e) = 0 THEN 1e0 ELSE len(list_intersect(e, p))::DOUBLE / len(list_distinct(list_concat(e, p))) END, 6) AS score FROM x""")
+def score_condition(spark, d):
+    return table(spark, d, "task_results").select("run_id", "task_id", "trial", "saved_at", F.round(tx.score_condition(F.col("expected_actions"), F.col("actions")), 6).alias("score"))
+
+
+@query("""WITH x AS (SELECT run_id, task_id, trial, saved_at, list_distinct(coalesce(expected_actions, [])) AS e, list_distinct(coalesce(actions, [])) AS p FROM task_results)
+ SELECT run_id, task_id, trial, saved_at, round(CASE WHEN len(list_distinct(list_concat(e, p))) = 0 THEN 1e0 ELSE len(list_intersect(e, p))::DOUBLE / len(list_distinct(list_concat(e, p))) END, 6) AS score FROM x""")
+def jaccard_sets(spark, d):
+    some = lambda c: F.array_distinct(F.coalesce(c, F.array()))
+    return table(spark, d, "task_results").select("run_id", "task_id", "trial", "saved_at", F.round(tx.jaccard(some("expected_actions"), some("actions")), 6).alias("score"))
+
+
+@query("""WITH x AS (SELECT sample_id, list_distinct([trim(a, ' ') FOR a IN coalesce(p.source_documents, [])]) AS e, list_distinct([trim(a, ' ') FOR a IN coalesce(s.source_doc_ids, [])]) AS c
+ FROM (SELECT sample_id, any_value(source_doc_ids) AS source_doc_ids FROM samples GROUP BY 1) s JOIN (SELECT sample_id, max(source_documents) AS source_documents FROM provenance GROUP BY 1) p USING (sample_id))
+ SELECT sample_id, round(CASE WHEN len(e) = 0 THEN 1e0 ELSE len(list_intersect(e, c))::DOUBLE / len(e) END, 6) AS score FROM x""")
+def score_grounding(spark, d):
+    s = table(spark, d, "samples").groupBy("sample_id").agg(F.any_value("source_doc_ids").alias("source_doc_ids"))
+    p = table(spark, d, "provenance").groupBy("sample_id").agg(F.max("source_documents").alias("source_documents"))
+    return s.join(p, "sample_id").select("sample_id", F.round(tx.score_grounding(F.col("source_documents"), F.col("source_doc_ids")), 6).alias("score"))
+
+
+@query("SELECT run_id, task_id, trial, saved_at, CASE WHEN trim(coalesce(expected_actions[1], '')) = trim(coalesce(actions[1], '')) THEN 1e0 ELSE 0e0 END AS score FROM task_results")
+def score_tool_name(spark, d):
+    first = lambda c: F.get(c, F.lit(0))
+    return table(spark, d, "task_results").select("run_id", "task_id", "trial", "saved_at", tx.score_tool_name(first("expected_actions"), first("actions")).alias("score"))
+
+
+@query("""SELECT event_id, CASE WHEN json_extract_string(props, '$.k') = CAST(event_id % 100 AS VARCHAR) THEN 1e0 ELSE 0e0 END AS score FROM events""")
+def score_tool_args(spark, d):
+    given = F.concat(F.lit('{"k": '), (F.col("event_id") % 100).cast("string"), F.lit(', "extra": 1}'))
+    return table(spark, d, "events").select("event_id", tx.score_tool_args(F.col("props"), given).alias("score"))
+
+
+@query("""WITH x AS (SELECT run_id, task_id, trial, saved_at, CASE WHEN success THEN 1e0 ELSE 0e0 END AS a, coalesce(reward, 0) AS b, CASE WHEN coalesce(actions[1], '') = coalesce(expected_actions[1], '') THEN 1e0 ELSE 0e0 END AS c FROM task_results)
+ SELECT run_id, task_id, trial, saved_at, a >= 0.5 AND b >= 0.5 AND c >= 0.5 AS ok, round((a + b + c) / 3, 6) AS reward FROM x""")
+def diag_success(spark, d):
+    """Success needs every enabled score at 0.5; the reward is their mean."""
+    scores = F.array(
+        F.coalesce(F.col("success").cast("double"), F.lit(0.0)), F.coalesce("reward", F.lit(0.0)), tx.score_tool_name(F.get("expected_actions", F.lit(0)), F.get("actions", F.lit(0)))
+    )
+    t = table(spark, d, "task_results").withColumn("s", scores)
+    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
+    return t.select("run_id", "task_id", "trial", "saved_at", F.forall("s", lambda x: x >= 0.5).alias("ok"), F.round(mean, 6).alias("reward"))
+
+
+@query(r"SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(question, '\$[\d,.]+|\d+\.?\d*%|\d{2,}'))), ' ') AS facts FROM eval_items")
+def fact_extract(spark, d):
+    return table(spark, d, "eval_items").select("item_id", F.array_join(F.array_sort(tx.facts("question")), " ").alias("facts"))
+
+
+@query()
+def sequence_ratio(spark, d):
+    return _pairs(spark, d).select("item_id", F.round(tx.ratio(F.col("answer"), F.col("next")), 6).alias("ratio"))
+
+
+@query()
+def response_score(spark, d):
+    return _pairs(spark, d).where("answer IS NOT NULL").select("item_id", F.round(tx.response_score(F.col("answer"), F.col("next")), 6).alias("score"))
+
+
+@query()
+def reward(spark, d):
+    return _pairs(spark, d).where("answer IS NOT NULL").select("item_id", F.round(tx.reward(F.col("answer"), F.col("next")), 6).alias("reward"))
+
+
+FACT = r"list_distinct(regexp_extract_all({0}, '\$[\d,.]+|\d+\.?\d*%|\d{{2,}}'))"
+BODY = r"trim(coalesce(next, ''), ' ')"
+
+
+@query(PAIR + rf""", x AS (SELECT item_id, {BODY} AS b, {FACT.format('answer')} AS r, {FACT.format(BODY)} AS t, length({BODY}) - length(replace({BODY}, chr(10), '')) AS lines,
+ CASE WHEN {BODY} = '' THEN 0 ELSE len(string_split(trim(regexp_replace({BODY}, '\s+', ' ', 'g')), ' ')) END AS n FROM e WHERE answer IS NOT NULL)
+ SELECT item_id, round(CASE WHEN len(r) > 0 THEN 0.2e0 * len(list_intersect(r, t)) / len(r) ELSE 0e0 END + CASE WHEN n BETWEEN 10 AND 200 THEN 0.1e0 WHEN n < 5 THEN -0.1e0 ELSE 0e0 END
+ + CASE WHEN length(b) < 3 OR lines > 20 THEN -0.3e0 ELSE 0e0 END, 6) AS reward FROM x""")
+def reward_without_ratio(spark, d):
+    return _pairs(spark, d).where("answer IS NOT NULL").select("item_id", F.round(tx.reward_without_ratio(F.col("answer"), F.col("next")), 6).alias("reward"))
+
+
+@query("SELECT vec_id, TRY_CAST(CASE WHEN vec_id % 3 = 0 THEN 'none' ELSE CAST(label AS VARCHAR) END AS DOUBLE) AS metric FROM embeddings")
+def safe_metric(spark, d):
+    raw = F.when(F.col("vec_id") % 3 == 0, "none").otherwise(F.col("label").cast("string"))
+    value = raw.try_cast("double")
+    return table(spark, d, "embeddings").select("vec_id", F.when(~F.isnan(value), value).alias("metric"))
+
+
+@query("SELECT doc_id, substr(text, 1, 200) AS excerpt FROM documents")
+def excerpt(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("excerpt"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.]+', '[email]', 'g'), '\bAC-\d+\b', '[account]', 'g'), '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b', '[card]', 'g')) AS text FROM documents""")
+def redact_secrets(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.redact("text")).alias("text"))
+
+
+@query(f"""WITH n AS (SELECT len({WS}) AS n FROM documents WHERE text IS NOT NULL) SELECT round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS most, min(n) AS least FROM n""")
+def token_stats(spark, d):
+    n = table(spark, d, "documents").where("text IS NOT NULL").select(F.size(tx.tokenize_ws("text")).cast("long").alias("n"))
+    return n.agg(F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("median"), F.round(F.percentile("n", 0.95), 6).alias("p95"), F.max("n").alias("most"), F.min("n").alias("least"))
+
+
+@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') AS w FROM eval_items), g AS (SELECT item_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+ m AS (SELECT sample_id, regexp_extract_all(lower(m.content), '[\p{L}\p{N}_]+') AS w FROM (SELECT sample_id, unnest(messages) AS m FROM samples)), h AS (SELECT sample_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT sample_id, w, unnest(range(1, len(w) - 6)) AS i FROM m WHERE len(w) >= 8))
+ SELECT DISTINCT item_id, sample_id FROM g JOIN h USING (gram)""")
+def ngram_contamination(spark, d):
+    """Samples that share eight words in a row with a question."""
+
+    def grams(df, key, text):
+        w = df.select(key, tx.tokenize_word(text).alias("w")).where(F.size("w") >= 8)
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(8)), " ")))
+        return w.select(key, F.explode(each).alias("gram"))
+
+    asked = grams(table(spark, d, "eval_items"), "item_id", "question")
+    said = grams(table(spark, d, "samples").select("sample_id", F.explode("messages").alias("m")).select("sample_id", F.col("m.content").alias("text")), "sample_id", "text")
+    return said.join(asked, "gram").select("item_id", "sample_id").distinct()
