@@ -140,12 +140,23 @@ _DIGITS = re.compile(r"\d+")
 _UNIT = re.compile(r"(.{1,12}?)\1{4,}")
 
 
+_TERM = re.compile(r"[^\W_]+|#")
+#: Some sign of every slot and of every failed value; texts without one need no closer look.
+_HINT = re.compile(
+    r"[}\]>»]|__|@@|%[A-Za-z]|\#[A-Za-z]{3}|\$[A-Za-z]|XXX|XX[/.-]|TODO|FIXME|TB[DC]|to\s+be\s+[cf]|DD[/.-]|TT\.MM|JJ/|YYYY|\#(?:REF|N/A|VALUE)"
+)
+_FAILURES = ("undefined", "NaN", "null", "None", "[object", "Invalid Date", "#REF!", "#N/A", "#VALUE!", "(MISSING)")
+
+
 def terms(text: str) -> list[str]:
-    return [_DIGITS.sub("#", w) for w in WORD.findall(text.lower())]
+    """Lower-cased words; a run of digits is one term."""
+    return _TERM.findall(_DIGITS.sub("#", text.lower()))
 
 
 def repeated(text: str) -> bool:
     """Is the whole text one short unit again and again?"""
+    if len(set(text[:200])) > 24:  # more signs than a short unit and its separators have
+        return False
     t = " ".join(text.split())
     if len(t) < 12:
         return False
@@ -202,12 +213,14 @@ class Index:
             return None, 0.0
         if repeated(text):
             return "filler", 1.0
-        bare = _QUOTED.sub(" ", text)
-        if FAILED.search(bare):
-            return "render", 1.0
-        if any(not _HTML.fullmatch(m.group(0)) for m in SLOT.finditer(bare)):
-            return "slot", 1.0
-        if not any(x in self.postings for x in set(terms(text))):
+        failed, hint = any(x in text for x in _FAILURES), _HINT.search(text)
+        if failed or hint:
+            bare = _QUOTED.sub(" ", text)
+            if failed and FAILED.search(bare):
+                return "render", 1.0
+            if hint and any(not _HTML.fullmatch(m.group(0)) for m in SLOT.finditer(bare)):
+                return "slot", 1.0
+        if self.postings.keys().isdisjoint(terms(text)):
             return None, 0.0
         whole, found = 0.0, Counter()
         for part in _PASSAGE.split(text):
