@@ -1 +1,221 @@
+"""Queries that write tables in the bundle's formats and read them back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomlake.operators import integrity as it
+from loomlake.plans.registry import query
+from loomlake.plans.samples import ONE, SPLIT, rows, split_one
+from loomlake.sources import files, sinks
+from loomlake.workspace import table
+
+ITEM = "item_id string, task_id string, question string, answer string"
+
+
+def _lines(spark, d, name: str, broken: bool = False) -> str:
+    """The evaluation items as JSON lines; with ``broken``, every tenth followed by a bad line."""
+    i = table(spark, d, "eval_items")
+    line = F.to_json(F.struct("*"))
+    bad = F.when(F.substring("item_id", -1, 1) == "0", F.array(line, F.lit('{"item_id": "broken'), F.lit("  "))).otherwise(F.array(line))
+    path = sinks.folder(spark, name)
+    i.select(F.explode(bad if broken else F.array(line)).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT item_id, task_id, question, answer FROM eval_items")
+def scan_jsonl_strict(spark, d):
+    return files.jsonl_strict(spark, _lines(spark, d, "strict"), ITEM)
+
+
+@query("SELECT item_id, task_id, question, answer FROM eval_items")
+def scan_jsonl_lenient(spark, d):
+    return files.jsonl_lenient(spark, _lines(spark, d, "lenient", broken=True), ITEM)
+
+
+@query("SELECT count(*) + count(*) FILTER (item_id LIKE '%0') AS lines, count(*) AS good, count(*) FILTER (item_id LIKE '%0') AS bad FROM eval_items")
+def scan_jsonl_tagged(spark, d):
+    t = files.jsonl_tagged(spark, _lines(spark, d, "tagged", broken=True))
+    return t.agg(F.count("*").alias("lines"), F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
+
+
+@query("SELECT count(*) AS n FROM eval_items")
+def count_jsonl(spark, d):
+    return files.count_jsonl(spark, _lines(spark, d, "count", broken=True))
+
+
+@query("SELECT run_id, task_id, trial, success, error FROM task_results")
+def sink_jsonl(spark, d):
+    path = sinks.jsonl(table(spark, d, "task_results").select("run_id", "task_id", "trial", "success", "error"), sinks.folder(spark, "jsonl"))
+    return files.jsonl_strict(spark, path, "run_id string, task_id string, trial long, success boolean, error string")
+
+
+IN = f"{ONE}, {SPLIT} SELECT sample_id, sample_type FROM s JOIN sp USING (sample_id) WHERE split = 'train'"
+
+
+def _split(spark, d):
+    return rows(spark, d).join(split_one(spark, d), "sample_id")
+
+
+@query(IN)
+def scan_sample_split(spark, d):
+    path = sinks.partitioned(_split(spark, d).select("sample_id", "sample_type", "split"), sinks.folder(spark, "splits"), "split")
+    return files.split_rows(spark, path, "train").drop("split")
+
+
+@query(f"{ONE}, {SPLIT} SELECT 'lora' AS backend, count(*) AS n FROM s JOIN sp USING (sample_id) WHERE split = 'validation'")
+def scan_backend_split(spark, d):
+    j = _split(spark, d).select("split", "messages")
+    both = j.withColumn("backend", F.explode(F.array(F.lit("lora"), F.lit("osft"))))
+    path = sinks.partitioned(both, sinks.folder(spark, "backends"), "backend", "split")
+    return spark.read.parquet(path).where("backend = 'lora' AND split = 'validation'").groupBy("backend").agg(F.count("*").alias("n"))
+
+
+@query(f"{ONE}, {SPLIT} SELECT split, count(*) AS n, CAST(sum(len(messages)) AS BIGINT) AS messages FROM s JOIN sp USING (sample_id) GROUP BY 1")
+def sink_backend_export(spark, d):
+    path = sinks.partitioned(_split(spark, d).select("split", "messages"), sinks.folder(spark, "export"), "split")
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum(F.size("messages").cast("long")).alias("messages"))
+
+
+@query("SELECT run_id, count(*) AS n FROM task_results GROUP BY 1")
+def sink_eval_result(spark, d):
+    path = sinks.partitioned(table(spark, d, "task_results").withColumn("track", F.lit("episodes")), sinks.folder(spark, "results"), "track", "run_id")
+    return spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT run_id, 2 * count(*) AS n FROM task_results GROUP BY 1")
+def sink_append_log(spark, d):
+    t, path = table(spark, d, "task_results").select("run_id", "task_id"), sinks.folder(spark, "log")
+    for _ in range(2):
+        sinks.append_log(t, path)
+    return spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT task_id, success_any AS uploaded FROM (SELECT task_id, bool_or(success) AS success_any FROM task_results GROUP BY 1)")
+def sink_mark_uploaded(spark, d):
+    """Uploads are appended as events and resolved on reading; nothing is rewritten."""
+    t, path = table(spark, d, "task_results"), sinks.folder(spark, "marks")
+    sinks.append_log(t.select(F.col("task_id").alias("fingerprint"), F.lit(None).cast("string").alias("upload_id")), path)
+    sinks.append_log(t.where("success").select(F.col("task_id").alias("fingerprint"), F.col("run_id").alias("upload_id")), path)
+    return it.upload_state(spark.read.parquet(path)).withColumnRenamed("fingerprint", "task_id")
+
+
+@query("SELECT sample_id FROM (SELECT DISTINCT sample_id FROM samples) WHERE sample_id NOT IN (SELECT sample_id FROM provenance WHERE sample_id IS NOT NULL)")
+def sink_checkpoint(spark, d):
+    path = sinks.folder(spark, "done")
+    table(spark, d, "provenance").where("sample_id IS NOT NULL").select("sample_id").distinct().write.parquet(path)
+    return sinks.resume(spark.read.parquet(path), table(spark, d, "samples").select("sample_id").distinct(), "sample_id")
+
+
+@query("SELECT run_id, count(*) AS n, round(count(*) FILTER (success) / count(*), 6) AS rate FROM task_results GROUP BY 1")
+def sink_csv_table(spark, d):
+    t = table(spark, d, "task_results").groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.count_if("success") / F.count("*"), 6).alias("rate"))
+    path = sinks.csv_table(t, sinks.folder(spark, "table"))
+    return spark.read.schema("run_id string, n long, rate double").option("header", True).csv(path)
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+def sink_vector_batch(spark, d):
+    path = sinks.vectors(table(spark, d, "embeddings").withColumn("id", F.when(F.col("vec_id") % 2 == 0, F.col("vec_id").cast("string"))), sinks.folder(spark, "vectors"))
+    return spark.read.parquet(path).where("id IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+
+
+def _bundle(spark, d) -> str:
+    return sinks.bundle(_split(spark, d), table(spark, d, "documents").select("kb_id", "text"), sinks.folder(spark, "bundle"))
+
+
+@query(f"{ONE}, {SPLIT}, c AS (SELECT split, count(*) AS n FROM s JOIN sp USING (sample_id) GROUP BY 1) SELECT 'canonical' AS part, split, n FROM c UNION ALL SELECT 'lora', split, n FROM c UNION ALL SELECT 'osft', split, n FROM c")
+def sink_bundle(spark, d):
+    path = _bundle(spark, d)
+    parts = [("canonical", f"{path}/canonical"), *((b, f"{path}/training/{b}") for b in ("lora", "osft"))]
+    out = None
+    for name, p in parts:
+        n = spark.read.schema("split string").json(p).groupBy("split").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "split", "n")
+        out = n if out is None else out.union(n)
+    return out
+
+
+@query("SELECT 'ok' AS state, true AS every_file")
+def bundle_validate(spark, d):
+    """Every file of a bundle against the checksums written last."""
+    return sinks.verify(spark, _bundle(spark, d)).groupBy("state").agg((F.count("*") > 0).alias("every_file"))
+
+
+@query("SELECT 'ok' AS state, true AS some UNION ALL SELECT 'missing', true UNION ALL SELECT 'mismatch', true")
+def checksum_join(spark, d):
+    """One expected hash is altered and one file is made up: every state occurs."""
+    path = sinks.folder(spark, "files")
+    table(spark, d, "documents").select("text").where("text IS NOT NULL").repartition(4).write.text(path)
+    actual = files.file_digests(spark, path).where("name LIKE 'part-%'").select(F.col("name").alias("path"), "sha256")
+    first = actual.agg(F.min("path").alias("p")).first().p
+    expected = actual.withColumn("sha256", F.when(F.col("path") == first, F.reverse("sha256")).otherwise(F.col("sha256")))
+    expected = expected.union(spark.createDataFrame([("no-such-file", "0")], "path string, sha256 string"))
+    return it.checksum_report(expected, actual).groupBy("state").agg((F.count("*") > 0).alias("some"))
+
+
+@query("SELECT sha256(item_id) AS sha256, item_id AS path, true AS ok FROM eval_items")
+def scan_checksum_file(spark, d):
+    path = sinks.folder(spark, "sums")
+    i = table(spark, d, "eval_items").select(F.concat_ws("  ", F.sha2("item_id", 256), "item_id").alias("value"))
+    i.union(spark.createDataFrame([("# comment",), ("",)], "value string")).write.text(path)
+    return files.checksum_lines(spark, path)
+
+
+@query()
+def file_checksum(spark, d):
+    return files.file_digests(spark, f"{d}/region.parquet").select("name", "bytes", "sha256")
+
+
+@query()
+def upload_checksum_manifest(spark, d):
+    f = files.file_digests(spark, f"{d}/nation.parquet")
+    return f.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "sha256"))))).alias("manifest"))
+
+
+@query("SELECT count(DISTINCT run_id) AS runs, count(*) AS trials FROM task_results")
+def scan_local_results(spark, d):
+    """Result files of all runs below one folder, each row with its file's name."""
+    path = sinks.folder(spark, "local")
+    table(spark, d, "task_results").select("run_id", "task_id").write.json(path)
+    r = spark.read.schema("run_id string, task_id string").option("recursiveFileLookup", True).json(path).withColumn("source_file", F.col("_metadata.file_name"))
+    return r.where("source_file IS NOT NULL").agg(F.count_distinct("run_id").alias("runs"), F.count("*").alias("trials"))
+
+
+@query("SELECT run_id, max(saved_at) AS saved_at, count(*) AS n FROM task_results GROUP BY 1 ORDER BY 2 DESC")
+def scan_runs(spark, d):
+    return table(spark, d, "task_results").groupBy("run_id").agg(F.max("saved_at").alias("saved_at"), F.count("*").alias("n")).orderBy(F.desc("saved_at"), "run_id")
+
+
+@query("SELECT 'bundle' AS name, count(*) AS samples FROM samples")
+def scan_manifest(spark, d):
+    """A manifest is one JSON object over several lines."""
+    n, path = table(spark, d, "samples").count(), sinks.folder(spark, "manifest")
+    spark.createDataFrame([('{\n  "name": "bundle",\n  "samples": ' + str(n) + "\n}",)], "value string").coalesce(1).write.text(path)
+    return spark.read.schema("name string, samples long").option("multiLine", True).json(path)
+
+
+@query("SELECT count(*) AS n FROM region")
+def fetch_first_available(spark, d):
+    return spark.read.parquet(files.first_available(spark, [f"{d}/absent.parquet", f"{d}/region.parquet"])).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'config' AS name, true AS present UNION ALL SELECT 'tokenizer', true UNION ALL SELECT 'weights', false")
+def exported_model_check(spark, d):
+    """Required parts of an exported folder; the folder made here lacks its weights."""
+    path = sinks.folder(spark, "model")
+    spark.createDataFrame([("config", "{}"), ("tokenizer", "{}")], "name string, value string").write.partitionBy("name").text(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", "name=([^/]+)", 1).alias("name")).distinct()
+    want = spark.createDataFrame([("config",), ("tokenizer",), ("weights",)], "name string")
+    return want.join(found.withColumn("present", F.lit(True)), "name", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+@query(f"{ONE}, {SPLIT} SELECT split, count(*) AS n, count(*) FILTER (coalesce(len(messages), 0) = 0) AS without_messages FROM s JOIN sp USING (sample_id) GROUP BY 1")
+def backend_loader_check(spark, d):
+    return _split(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("messages"), F.lit(0)) <= 0).alias("without_messages"))
+
+
+@query(f"{ONE}, {SPLIT}, c AS (SELECT count(*) FILTER (split = 'train') AS t, count(*) FILTER (split = 'validation') AS v FROM s JOIN sp USING (sample_id)), k AS (SELECT count(*) FILTER (text IS NULL) AS no_text FROM documents) SELECT t > 0 AS train, v > 0 AS validation, no_text = 0 AS kb_text, t > 0 AND v > 0 AND no_text = 0 AS valid FROM c, k")
+def bundle_validate_strict(spark, d):
+    c = _split(spark, d).agg((F.count_if(F.col("split") == "train") > 0).alias("train"), (F.count_if(F.col("split") == "validation") > 0).alias("validation"))
+    k = table(spark, d, "documents").agg((F.count_if(F.col("text").isNull()) == 0).alias("kb_text"))
+    return c.crossJoin(k).withColumn("valid", F.col("train") & F.col("validation") & F.col("kb_text"))  # two single rows

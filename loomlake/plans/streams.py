@@ -1 +1,43 @@
+"""Streaming queries over the event table, run to the end of what is there."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomlake.plans.registry import query
+from loomlake.streaming import operators as so
+
+NTZ = "timestamp_ntz"
+
+
+def _source(spark, d):
+    return so.events(spark, f"{d}/events*.parquet")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS begin, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_eval_rollup(spark, d):
+    return so.run(so.rollup(_source(spark, d)), "rollup", "complete").withColumn("begin", F.col("begin").cast(NTZ))
+
+
+@query("""WITH x AS (SELECT *, unnest([0, 15, 30, 45]) AS back FROM events) SELECT time_bucket(INTERVAL '15 minutes', ts) - to_minutes(back) AS begin, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY 1, 2""")
+def stream_sliding(spark, d):
+    return so.run(so.rollup(_source(spark, d), slide="15 minutes"), "sliding", "complete").withColumn("begin", F.col("begin").cast(NTZ))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ r AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS begin, count(*) AS n FROM r GROUP BY user_id, s""")
+def stream_session_window(spark, d):
+    return so.run(so.sessions(_source(spark, d)), "sessions", "complete").withColumn("begin", F.col("begin").cast(NTZ))
+
+
+@query("SELECT DISTINCT user_id, event_type, props FROM events")
+def stream_dup_guard(spark, d):
+    """Users, types and arguments that occurred; repeats inside the watermark are dropped on arrival."""
+    s = so.run(so.once(_source(spark, d), ["user_id", "event_type", "props"]), "once")
+    return s.select("user_id", "event_type", "props").distinct()
+
+
+@query("SELECT user_id, least(count(*), 20) AS turns, count(*) >= 20 AS stopped FROM events GROUP BY 1")
+def stream_session_budget(spark, d):
+    s = so.run(so.budget(_source(spark, d)), "budget", "update")
+    return s.groupBy("user_id").agg(F.max_by("turns", "batch").alias("turns"), F.max_by("stopped", "batch").alias("stopped"))
