@@ -366,3 +366,19 @@ def type_satisfied_join(spark, d):
 def manifest_compat(spark, d):
     same = F.coalesce(F.col("generator_model") == "teacher-a", F.lit(False))
     return table(spark, d, "provenance").groupBy("generator_id", "generator_model").agg(F.count("*").alias("n")).select("generator_id", "generator_model", "n", (same & (F.col("n") > 0)).alias("compatible"))
+
+
+@query(f"""{ONE}, c AS (SELECT sample_id, list_filter([CASE WHEN len(m.tool_calls) > 0 THEN m.tool_calls[1] END FOR m IN messages], lambda x: x IS NOT NULL)[1] AS t FROM s)
+ SELECT sample_id, t.function.name AS name, CASE WHEN json_valid(t.function.arguments) THEN json_extract_string(t.function.arguments, '$.account') END AS account FROM c""")
+def first_tool_call(spark, d):
+    """The first call of a conversation; arguments that do not parse count as none."""
+    called = F.filter("messages", lambda m: F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0)
+    t = F.get(F.get(called, F.lit(0))["tool_calls"], F.lit(0))["function"]
+    good = F.expr("try_parse_json(t.arguments) IS NOT NULL")
+    return rows(spark, d).select("sample_id", t.alias("t")).select("sample_id", F.col("t.name").alias("name"), F.when(good, F.get_json_object("t.arguments", "$.account")).alias("account"))
+
+
+@query(f"{ONE} SELECT '# Bundle' || chr(10) || '- samples: ' || count(*) || chr(10) || '- types: ' || count(DISTINCT sample_type) AS card FROM s")
+def render_card_md(spark, d):
+    n = rows(spark, d).agg(F.count("*").alias("n"), F.count_distinct("sample_type").alias("k"))
+    return n.select(F.concat(F.lit("# Bundle\n- samples: "), F.col("n").cast("string"), F.lit("\n- types: "), F.col("k").cast("string")).alias("card"))

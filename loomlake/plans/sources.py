@@ -219,3 +219,19 @@ def bundle_validate_strict(spark, d):
     c = _split(spark, d).agg((F.count_if(F.col("split") == "train") > 0).alias("train"), (F.count_if(F.col("split") == "validation") > 0).alias("validation"))
     k = table(spark, d, "documents").agg((F.count_if(F.col("text").isNull()) == 0).alias("kb_text"))
     return c.crossJoin(k).withColumn("valid", F.col("train") & F.col("validation") & F.col("kb_text"))  # two single rows
+
+
+@query("SELECT 'path' AS key, '/data/kb' AS value UNION ALL SELECT 'missing', ''")
+def scan_yaml_config(spark, d):
+    """Settings with their variables expanded; read on the driver."""
+    made = files.expand_variables({"path": "${ROOT}/kb", "missing": "${NOWHERE}"}, {"ROOT": "/data"})
+    return spark.createDataFrame(sorted(made.items()), "key string, value string")
+
+
+@query("""SELECT substr(sha256('{"k": 3, "track": "episodes"}'), 1, 16) AS config_hash""")
+def config_hash(spark, d):
+    import hashlib
+    import json
+
+    text = json.dumps({"track": "episodes", "k": 3}, sort_keys=True)
+    return spark.createDataFrame([(hashlib.sha256(text.encode()).hexdigest()[:16],)], "config_hash string")
