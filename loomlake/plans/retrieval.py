@@ -45,6 +45,10 @@ def _scores(spark, d):
     return retrieval.bm25_scores(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question")
 
 
+def _best(spark, d):
+    return retrieval.bm25_top(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question", 5)
+
+
 @query(f"WITH {P}, {SCORES} SELECT item_id, count(*) AS documents, round(max(score), 2) AS best, round(sum(score), 0) AS total FROM sc GROUP BY 1")
 def bm25_score(spark, d):
     return _scores(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("score"), 2).alias("best"), F.round(F.sum("score"), 0).alias("total"))
@@ -52,7 +56,7 @@ def bm25_score(spark, d):
 
 @query(f"WITH {P}, {SCORES}, {TOPK} SELECT item_id, doc_id, rank FROM top WHERE score > 0")
 def bm25_topk(spark, d):
-    return retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).select("item_id", "doc_id", "rank")
+    return _best(spark, d).select("item_id", "doc_id", "rank")
 
 
 @query(f"WITH {P}, {SCORES}, {TOPK} SELECT item_id, doc_id, score FROM top WHERE score > 0")
@@ -63,7 +67,7 @@ def retrieve(spark, d):
 @query(f"WITH {P}, {SCORES}, {TOPK} SELECT item_id, array_to_string(list(doc_id || ':' || md5(coalesce(substr(text, 1, 200), '')) ORDER BY rank), ',') AS cited FROM top JOIN documents USING (doc_id) WHERE score > 0 GROUP BY 1")
 def citations(spark, d):
     docs = table(spark, d, "documents")
-    hits = retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).join(docs.select("doc_id", "text"), "doc_id")
+    hits = _best(spark, d).join(docs.select("doc_id", "text"), "doc_id")
     cited = F.transform("citations", lambda c: F.concat(c["doc_id"].cast("string"), F.lit(":"), F.md5(F.coalesce(c["excerpt"], F.lit("")))))
     return retrieval.citations(hits, "item_id").select("item_id", F.array_join(cited, ",").alias("cited"))
 
@@ -71,14 +75,14 @@ def citations(spark, d):
 @query(f"WITH {P}, {SCORES}, {TOPK}, l AS (SELECT item_id, list(text ORDER BY rank) AS t FROM top JOIN documents USING (doc_id) WHERE score > 0 GROUP BY 1) SELECT item_id, md5(array_to_string(['[' || i || '] ' || substr(t[i], 1, 600) FOR i IN range(1, len(t) + 1)], chr(10))) AS context FROM l")
 def topk_context(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).join(docs, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
+    hits = _best(spark, d).join(docs, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
     return hits.select("item_id", F.md5(retrieval.numbered_context(F.transform("h", lambda x: x["text"]))).alias("context"))
 
 
 @query(f"WITH {P}, {SCORES}, {TOPK}, l AS (SELECT item_id, list(text ORDER BY rank) AS t FROM top JOIN documents USING (doc_id) WHERE score > 0 GROUP BY 1) SELECT item_id, md5(array_to_string([substr(x, 1, 500) FOR x IN t[1:3]], chr(10))) AS context FROM l")
 def verify_context(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).join(docs, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
+    hits = _best(spark, d).join(docs, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
     return hits.select("item_id", F.md5(F.array_join(F.transform(F.slice("h", 1, 3), lambda x: F.substring(x["text"], 1, 500)), "\n")).alias("context"))
 
 
@@ -88,7 +92,7 @@ UNION = """h AS (SELECT item_id, 0 AS qi, rank, doc_id FROM top WHERE score > 0
 @query(f"WITH {P}, {SCORES}, {TOPK}, {UNION} SELECT item_id, doc_id, qi AS query_index FROM h QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY qi, rank) = 1")
 def retrieval_union_dedup(spark, d):
     """Hits of an item's own question and of the item before it stand for two plan queries."""
-    best = retrieval.top(_scores(spark, d), "item_id", "doc_id", 5).select("item_id", "rank", F.col("doc_id").alias("id"), F.lit("").alias("document"))
+    best = _best(spark, d).select("item_id", "rank", F.col("doc_id").alias("id"), F.lit("").alias("document"))
     later = F.concat(F.lit("item-"), F.lpad((F.substring("item_id", 6, 9).cast("int") + 1).cast("string"), 4, "0"))
     hits = best.withColumn("query_index", F.lit(0)).unionByName(best.withColumn("item_id", later).withColumn("query_index", F.lit(1)))
     return retrieval.merged(hits, "item_id").select("item_id", F.col("id").alias("doc_id"), "query_index")
