@@ -26,7 +26,7 @@ def jsonl_tagged(spark: SparkSession, path: str) -> DataFrame:
     Lines are numbered from 1 inside their file: each file is read whole by one task, so files
     should be of ordinary size; larger inputs are written in parts.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     lines = files.select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
     kept = lines.where(F.trim("value") != "")
     return kept.select("source_file", (F.col("n") + 1).cast("long").alias("source_line"), "value", F.expr("try_parse_json(value) IS NOT NULL").alias("ok"))
