@@ -11,9 +11,13 @@ def tokenize_word(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+#: White space of Unicode, as it splits texts into words (fixed values).
+BLANKS = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
 def tokenize_ws(text: Column | str) -> Column:
     """Lower-cased, split at white space."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.lower(text), BLANKS, " "))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 

@@ -10,7 +10,8 @@ from loomlake.plans.registry import query
 from loomlake.workspace import table
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-WS = r"CASE WHEN trim(regexp_replace(lower(text), '\s+', ' ', 'g')) = '' THEN [] ELSE string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') END"
+BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+WS = f"CASE WHEN trim(regexp_replace(lower(text), '{BLANKS}', ' ', 'g'), ' ') = '' THEN [] ELSE string_split(trim(regexp_replace(lower(text), '{BLANKS}', ' ', 'g'), ' '), ' ') END"
 
 
 @query(f"SELECT doc_id, md5(array_to_string({WORDS}, ' ')) AS tokens, len({WORDS}) AS n FROM documents WHERE text IS NOT NULL")

@@ -211,7 +211,7 @@ def qa_convert(spark, d):
     return i.select("item_id", made.alias("sample_id"), F.regexp_replace("item_id", "-[^-]*$", "").alias("family"))
 
 
-@query(f"""{ONE} SELECT sample_id, len(messages) + CASE WHEN len(source_doc_ids) > 0 THEN 1 ELSE 0 END AS messages, CASE WHEN len(source_doc_ids) > 0 THEN array_to_string(source_doc_ids, chr(10) || chr(10)) ELSE messages[1].content END AS head FROM s""")
+@query(f"""{ONE} SELECT sample_id, len(messages) + CASE WHEN len(source_doc_ids) > 0 THEN 1 ELSE 0 END AS messages, CASE WHEN len(source_doc_ids) > 0 THEN coalesce(array_to_string(source_doc_ids, chr(10) || chr(10)), '') ELSE messages[1].content END AS head FROM s""")
 def matched_context(spark, d):
     """A system message with the retrieved documents is put before the messages, if there are any."""
     some = F.coalesce(F.size("source_doc_ids"), F.lit(0)) > 0
