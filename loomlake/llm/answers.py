@@ -93,11 +93,11 @@ def language(text: str) -> str | None:
     for name, mark in _MARKS.items():
         hits = len(mark.findall(text.lower()))
         if hits:
-            score[name] += min(hits, 6) / 2
+            score[name] += min(hits, 3)
     best = score.most_common(2)
     if not best or best[0][1] < 2:
         return None
-    return best[0][0] if len(best) < 2 or best[0][1] >= 1.3 * best[1][1] else None
+    return best[0][0] if len(best) < 2 or best[0][1] >= 1.2 * best[1][1] else None
 
 
 def is_empty(answer: str | None) -> bool:

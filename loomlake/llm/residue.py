@@ -172,8 +172,8 @@ class Index:
     """Exemplars by term, with TF-IDF weights from a corpus."""
 
     def __init__(self, often: dict[str, int], documents: int):
-        self.top = math.log(RARE)
-        self.often, self.documents = often, max(documents, 1)
+        self.often, self.documents = often, max(documents, 3)
+        self.top = math.log(min(RARE, self.documents))
         self.exemplars: list[tuple[str, frozenset[str], float]] = []
         self.postings: dict[str, list[int]] = defaultdict(list)
         for label, lines in EXEMPLARS.items():
