@@ -1,8 +1,9 @@
 """Records of evaluation splits that recur, exactly or almost, in train (problem 2).
 
 Winnowing: rolling hashes of ``SEED`` words, the minimum of every window of ``WINDOW`` hashes is
-kept, so any common run of SEED + WINDOW - 1 words shares a seed.  Seeds are joined across
-samples, bit sketches drop pairs that cannot reach the threshold, and the pairs left are aligned:
+kept, so any common run of SEED + WINDOW - 1 words shares a seed; texts under ``SHORT`` words also
+keep every sequence of ``SHORT_SEED`` words, for a pair of them at the threshold may share no
+longer run.  Seeds are joined across samples, bit sketches drop pairs that cannot reach the threshold, and the pairs left are aligned:
 collinear seeds are chained, extended word by word, and give the coverage of either record.
 """
 
@@ -24,19 +25,19 @@ from loomlake.workspace import small, stored
 #: Words of a sequence and the least similarity, as TESTDATA.md gives them for this problem.
 SEQUENCE, SIMILARITY = 3, 0.6
 SEED, WINDOW = 12, 6
-#: Texts of fewer words keep every seed, for they hold few.
-DENSE = 64
+#: Texts of fewer words keep every sequence of so many words besides.
+SHORT, SHORT_SEED = 80, 8
 #: Bits of the set sketch, in 64-bit words.
-WORDS = 4
+WORDS = 8
 STEP = 2000
 TRAIN, HELD_OUT = ("train",), ("validation", "holdout")
 
 
-def winnowed(x: np.ndarray, owner: np.ndarray, counts: np.ndarray, window: int, dense: int) -> np.ndarray:
-    """Indices of the selected hashes: the rightmost minimum of each window inside one text, the
-    only minimum of a text with fewer hashes, and every hash of a text under ``dense`` words."""
+def winnowed(x: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """Indices of the selected hashes: the rightmost minimum of each window inside one text, and
+    the only minimum of a text with fewer hashes."""
     n = len(x)
-    chosen = counts[owner] < dense
+    chosen = np.zeros(n, bool)
     width = n - window + 1
     if width > 0:
         best, at = x[:width].copy(), np.arange(width)
@@ -66,6 +67,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 fp = pairing.set_print(owner, x, starts)
                 seed, of, _ = grams(flat, counts, SEED)
+                short = np.repeat(counts < SHORT, counts)
+                extra, near, _ = grams(flat[short], counts * (counts < SHORT), SHORT_SEED)
             lead = np.fromiter((f not in seen and not seen.add(f) for f in fp.tolist()), bool, len(fp))
             row = np.repeat(np.arange(len(fp)), np.diff(np.r_[starts, len(x)]))
             bits = np.zeros((len(fp), WORDS * 64), bool)
@@ -73,13 +76,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
             rank = np.full(len(counts), -1)
             rank[owner[starts]] = np.arange(len(fp))
-            pick = winnowed(seed, of, counts, WINDOW, DENSE)
-            pick = pick[lead[rank[of[pick]]]]
-            per = np.bincount(rank[of[pick]], minlength=len(fp))
-            offsets = np.r_[0, np.cumsum(per)].astype(np.int32)
+            pick = winnowed(seed, of, WINDOW)
+            seed, at_row = np.r_[seed[pick], extra], rank[np.r_[of[pick], near]]
+            order = np.argsort(at_row, kind="stable")
+            order = order[lead[at_row[order]]]
+            seed, at_row = seed[order], at_row[order]
+            offsets = np.r_[0, np.cumsum(np.bincount(at_row, minlength=len(fp)))].astype(np.int32)
             columns = [part.column(0).take(pa.array(owner[starts])), pa.array(fp), pa.array(lead)]
             columns.append(pa.array(np.diff(np.r_[starts, len(x)]).astype(np.int32)))
-            columns.append(pa.ListArray.from_arrays(offsets, seed[pick].view(np.int64)))
+            columns.append(pa.ListArray.from_arrays(offsets, seed.view(np.int64)))
             columns += [pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)]
             yield pa.RecordBatch.from_arrays(columns, names=["sample_id", "fp", "lead", "n", "seeds", *(f"s{i}" for i in range(WORDS))])
 

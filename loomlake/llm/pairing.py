@@ -8,6 +8,7 @@ is named and compared block by block on bit sketches, so nothing is dropped to e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -177,8 +178,12 @@ def with_texts(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, name: str)
     )
 
 
+#: A worker's memory of sequence sets: a text of many pairs is cut once.
+_cut = lru_cache(4096)(shingles)
+
+
 def similarity(a: str, b: str, k: int) -> float:
     """Sequences in both texts divided by sequences in either; 0 where neither has one."""
-    x, y = shingles(a, k), shingles(b, k)
+    x, y = _cut(a, k), _cut(b, k)
     shared = len(x & y)
     return shared / (len(x) + len(y) - shared) if x or y else 0.0
