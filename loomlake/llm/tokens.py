@@ -13,6 +13,7 @@ import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +60,11 @@ class HashMap:
                 at, steps = (at + 1) & (self.size - 1), steps + 1
             slots[at], held[at] = signed, value
             self.depth = max(self.depth, steps)
-        schema = T.StructType([T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(kind))])
+        element = pa.int32() if isinstance(kind, T.IntegerType) else pa.list_(pa.int32())
+        one_row = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        both = pa.table({"slots": one_row(pa.array(slots)), "held": one_row(pa.array(held, element))})
         view = f"loomlake_{uuid.uuid4().hex}"
-        spark.createDataFrame([(slots.tolist(), held)], schema).createOrReplaceTempView(view)
+        spark.createDataFrame(both).createOrReplaceTempView(view)
         for variable, column, element in ((self.slots, "slots", "bigint"), (self.values, "held", kind.simpleString())):
             spark.sql(f"DECLARE OR REPLACE VARIABLE {variable} array<{element}>")
             spark.sql(f"SET VAR {variable} = (SELECT {column} FROM {view})")
