@@ -48,6 +48,9 @@ WISH = {k: re.compile(rf"\b(?:in|into|en|al|auf|ins)\s+(?:{v})", re.I) for k, v
 
 _FENCE = re.compile(r"```.*?```", re.S)
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d+[.)])(?:\s+|$)")
+#: A list's number without its item; a German day whose month is missing.
+_MARKER = re.compile(r"\s*\d+[.)]")
+_ORDINAL = re.compile(r"\b(?:am|dem|vom|zum)\s+\d{1,2}\.$")
 _CLOSED = re.compile(r"[.!?。！？](?:[\"'”’»)\]]*)$")
 _TAIL = re.compile(r"[\s​‌‍﻿️☀-➿\U0001f000-\U0001faff]+$")
 _NUMBER = re.compile(r"\d+")
@@ -143,9 +146,11 @@ def unfinished(answer: str) -> str | None:
         return "cut"
     if text.endswith(("...", "…")):
         return "cut"
+    last = text.rsplit("\n", 1)[-1]
+    if _MARKER.fullmatch(last) and "\n" in text or _ORDINAL.search(text):
+        return "cut"
     if _CLOSED.search(text):
         return None
-    last = text.rsplit("\n", 1)[-1]
     if _ITEM.match(last):
         return "doubt" if words(_ITEM.sub("", last)) else "cut"
     if text[-1] in ')]"”»' and text.count("(") == text.count(")"):

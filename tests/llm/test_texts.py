@@ -54,7 +54,7 @@ LIST = "Please follow these steps:\n- Open the app\n- Sign the form"
         (Q + " Please answer in Spanish.", "La oficina regional libera la orden de pago en 9 días hábiles.", None),
         (Q, "The desk releases the standing order and the", "truncated"), (Q, "The desk releases the order under…", "truncated"), (Q, 'The desk will release it to "', "truncated"),
         (Q, "It is done.\n```json\n{\"a\": 1", "truncated"), (Q, "It is done.\n```json\n{\"a\": 1}\n```", None), (Q, "Which account do you mean?", None),
-        (Q, LIST, None), (Q, LIST + "\n- ", "truncated"), (Q, "The desk releases the order within nine days. 🙂", None), (None, "The desk does it.", None),
+        (Q, LIST, None), (Q, LIST + "\n- ", "truncated"), (Q, "Do this:\n1. Open the app.\n2.", "truncated"), (Q, "Do this:\n1. Open the app.\n2. Sign it.", None), (Q, "The desk releases the order within nine days. 🙂", None), (None, "The desk does it.", None),
     ],
 )
 def test_defects(question, answer, defect):
