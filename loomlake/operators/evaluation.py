@@ -96,11 +96,11 @@ def replicate_means(values: DataFrame, by: str, id_column: str, value: str, repl
     """Means of ``replicates`` resamples with replacement: (by, replicate, mean).
 
     Each draw is a hash of seed, replicate and position, so results repeat and any engine can
-    compute them.  A group's values travel as one array (tasks of a run: hundreds), the
-    replicates are spread over the cluster.
+    compute them.  A group's values travel as one array (tasks of a run: hundreds); replicates
+    are made where it lies, so nothing but the means is shuffled.
     """
     ordered = values.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(value).alias("v")))).alias("a"))
-    grid = ordered.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(F.col("replicate"))
+    grid = ordered.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     key = lambda i: F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), i.cast("string"))
     at = lambda i: F.pmod(F.conv(F.substring(F.md5(key(i)), 1, 8), 16, 10).cast("bigint"), F.size("a")).cast("int")
     total = F.aggregate(F.sequence(F.lit(0), F.size("a") - 1), F.lit(0.0), lambda s, i: s + F.get(F.col("a"), at(i))["v"])

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.sources.files import checksum_lines, file_digests
-from loomlake.workspace import shared_dir
+from loomlake.workspace import application_dir
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared workspace."""
-    return f"{shared_dir(spark)}/loomlake/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def jsonl(df: DataFrame, path: str) -> str:

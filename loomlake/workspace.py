@@ -36,10 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     removed at exit.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="loomlake-")
     atexit.register(shutil.rmtree, own, True)
@@ -47,10 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_OWN: set[str] = set()
+
+
+def application_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/loomlake/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _remove(jvm, configuration, path: str) -> None:
+    try:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration).delete(folder, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone by now
+        pass
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: the lineage ends at files that
     outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/loomlake/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
