@@ -71,7 +71,9 @@ def grams(flat: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.
 def distinct_grams(flat: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different k-word sequences of each text: (text index, hash), ordered by both."""
     x, owner, _ = grams(flat, counts, k)
-    order = np.lexsort((x, owner))
+    order = np.argsort(x)
+    narrow = owner.astype(np.uint16) if len(counts) < 1 << 16 else owner  # narrow integers are sorted by radix
+    order = order[np.argsort(narrow[order], kind="stable")]
     x, owner = x[order], owner[order]
     if not len(x):
         return owner, x
