@@ -53,7 +53,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         picked = stored(both.groupBy("c").agg(F.min(F.struct("w", "other")).alias("m")).select("c", F.col("m.other").alias("p"), "m.w"), "picked")
         forest = forest.union(picked.select("w.u", "w.v"))
         roots = _roots(picked.select("c", "p"))
-        named = small(roots, 64)
+        named = small(roots, 192)
         labels = stored(
             labels.join(named.select(F.col("c").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "labels"
         )

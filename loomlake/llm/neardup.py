@@ -143,7 +143,7 @@ def near_duplicate_groups(samples: DataFrame, cap: int = pairing.CAP) -> DataFra
     links = _verified(pairs, nodes, texts, limit)
     labels, _ = spanning_forest(links)
     if not hot.isEmpty():  # nodes of large buckets outside the bucket's main component, against the whole bucket
-        at = keyed.join(small(hot.select("key").distinct(), 16), "key").distinct()
+        at = keyed.join(small(hot.select("key").distinct(), 64), "key").distinct()
         marked = at.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
         marked = stored(marked.join(nodes.drop("rep"), "fp"), "large")
         main = marked.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
@@ -152,9 +152,9 @@ def near_duplicate_groups(samples: DataFrame, cap: int = pairing.CAP) -> DataFra
         links = links.union(more)
         labels, _ = spanning_forest(links)
     degree = links.select(F.col("u").alias("fp")).union(links.select("v")).groupBy("fp").agg(F.count("*").alias("links"))
-    known = small(stored(labels.withColumnRenamed("node", "fp").join(degree, "fp"), "known"), 40)
+    known = small(stored(labels.withColumnRenamed("node", "fp").join(degree, "fp"), "known"), 96)
     member = sig.select("sample_id", "fp").distinct().join(known, "fp", "left")
     member = stored(member.select("sample_id", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "members")
     named = member.groupBy("root").agg(F.min("sample_id").alias("group_id"), F.max("sample_id").alias("last")).where("group_id <> last").drop("last")
-    named = small(stored(named, "named"), 48)
+    named = small(stored(named, "named"), 192)
     return member.join(named, "root").groupBy("sample_id").agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))

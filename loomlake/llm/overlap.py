@@ -199,7 +199,7 @@ def overlapping_nodes(samples: DataFrame, split_rows: DataFrame, cap: int = pair
     keyed = lead.select(F.explode("seeds").alias("key"), "fp")
     pairs, hot = pairing.keyed_pairs(keyed, "seeded", cap, star=False)
     if not hot.isEmpty():
-        at = keyed.join(small(hot.select("key").distinct(), 16), "key").distinct()
+        at = keyed.join(small(hot.select("key").distinct(), 64), "key").distinct()
         marked = stored(at.join(nodes.drop("rep"), "fp").withColumn("label", F.col("fp")), "large")
         pairs = pairs.union(pairing.block_pairs(marked.where("train"), marked.where("held"), WORDS, _may_reach))
     side = lambda x: nodes.select(F.col("fp").alias(x), F.struct(*sketch, "n", "held", "train").alias(f"k{x}"))

@@ -146,7 +146,7 @@ def block_pairs(members: DataFrame, left: DataFrame, word_count: int, differ) ->
     """
     blocks = lambda name: F.ceil(F.count("*") / BLOCK).cast("int").alias(name)
     counts = members.groupBy("key").agg(blocks("nm")).join(left.groupBy("key").agg(blocks("nl")), "key")
-    counts = small(stored(counts, "blocks"), 32)
+    counts = small(stored(counts, "blocks"), 96)
     at = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["key", "mb", "lb", "left", "fp", "label", "n", *(f"s{i}" for i in range(word_count))]
@@ -171,7 +171,7 @@ def with_texts(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, name: str)
     """
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     wanted = stored(nodes.select("fp", "rep").join(ends, "fp"), f"{name}-ends")
-    got = texts.join(small(wanted.withColumnRenamed("rep", "sample_id"), 64), "sample_id").select("fp", "text")
+    got = texts.join(small(wanted.withColumnRenamed("rep", "sample_id"), 160), "sample_id").select("fp", "text")
     got = stored(got.dropDuplicates(["fp"]), f"{name}-texts")
     return pairs.join(got.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(
         got.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b"

@@ -48,7 +48,7 @@ def related_groups(samples: DataFrame, **columns: str) -> tuple[DataFrame, DataF
         .groupBy("root")
         .agg(F.coalesce(F.min("family"), F.min("doc")).alias("group_key"))
     )
-    named = small(stored(named, "groups"), 96)
+    named = small(stored(named, "groups"), 256)
     return labels.join(named, "root").select(F.col("node").alias("sample_id"), "group_key", "root"), forest
 
 
