@@ -60,7 +60,7 @@ def _split(spark, d):
 @query(IN)
 def scan_sample_split(spark, d):
     path = sinks.partitioned(_split(spark, d).select("sample_id", "sample_type", "split"), sinks.folder(spark, "splits"), "split")
-    return files.split_rows(spark, path, "train").drop("split")
+    return files.split_rows(spark, path, "train", "sample_id string, sample_type string, split string").drop("split")
 
 
 @query(f"{ONE}, {SPLIT} SELECT 'lora' AS backend, count(*) AS n FROM s JOIN sp USING (sample_id) WHERE split = 'validation'")
@@ -68,19 +68,21 @@ def scan_backend_split(spark, d):
     j = _split(spark, d).select("split", "messages")
     both = j.withColumn("backend", F.explode(F.array(F.lit("lora"), F.lit("osft"))))
     path = sinks.partitioned(both, sinks.folder(spark, "backends"), "backend", "split")
-    return spark.read.parquet(path).where("backend = 'lora' AND split = 'validation'").groupBy("backend").agg(F.count("*").alias("n"))
+    return spark.read.schema(both.schema).parquet(path).where("backend = 'lora' AND split = 'validation'").groupBy("backend").agg(F.count("*").alias("n"))
 
 
 @query(f"{ONE}, {SPLIT} SELECT split, count(*) AS n, CAST(sum(len(messages)) AS BIGINT) AS messages FROM s JOIN sp USING (sample_id) GROUP BY 1")
 def sink_backend_export(spark, d):
-    path = sinks.partitioned(_split(spark, d).select("split", "messages"), sinks.folder(spark, "export"), "split")
-    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum(F.size("messages").cast("long")).alias("messages"))
+    kept = _split(spark, d).select("split", "messages")
+    path = sinks.partitioned(kept, sinks.folder(spark, "export"), "split")
+    return spark.read.schema(kept.schema).parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum(F.size("messages").cast("long")).alias("messages"))
 
 
 @query("SELECT run_id, count(*) AS n FROM task_results GROUP BY 1")
 def sink_eval_result(spark, d):
-    path = sinks.partitioned(table(spark, d, "task_results").withColumn("track", F.lit("episodes")), sinks.folder(spark, "results"), "track", "run_id")
-    return spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n"))
+    tracked = table(spark, d, "task_results").withColumn("track", F.lit("episodes"))
+    path = sinks.partitioned(tracked, sinks.folder(spark, "results"), "track", "run_id")
+    return spark.read.schema(tracked.schema).parquet(path).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT run_id, 2 * count(*) AS n FROM task_results GROUP BY 1")

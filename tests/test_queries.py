@@ -31,3 +31,18 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() >= 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def empty(tmp_path_factory):
+    import pyarrow.parquet as pq
+
+    folder = tmp_path_factory.mktemp("empty")
+    for f in os.listdir(SMALL):
+        pq.write_table(pq.read_table(f"{SMALL}/{f}").slice(0, 0), folder / f)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert catalog.QUERIES[name](spark, empty).count() >= 0
