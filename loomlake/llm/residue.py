@@ -116,6 +116,15 @@ the app only says error during system maintenance
 """,
 }
 
+#: Function words and the sign of a number: exemplars hold them, but no text is known by them (fixed values).
+COMMON = frozenset(
+    """
+# the a an of to in it is are was be been by for from and or not no on at as so if this that these with you your we our us has have do can may will
+de la el los las en un una y o que es por para su se no con al del le les des du et ou est pas à l d n s qu ne vous votre nous dans pour sur au aux
+der die das den dem ein eine und oder ist nicht im in zu zur sie es von mit für auf
+""".split()
+)
+
 _NAME = r"[A-Za-z][A-Za-z]*(?:[ _-][A-Za-z]+){0,3}"
 #: Slots meant to be filled, by the marks around a name (patterns; fixed values).
 SLOT = re.compile(
@@ -153,6 +162,17 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(_DIGITS.sub("#", text.lower()))
 
 
+#: The exemplars' own key terms, by label.
+KEYS = [frozenset(terms(lines)) - COMMON for lines in EXEMPLARS.values()]
+
+
+def resembles(found: set[str]) -> bool:
+    """Do the exemplars' key terms, which no corpus changes, make up so much of a document's terms
+    that it may be covered?"""
+    own = found - COMMON
+    return bool(own) and max(len(own & keys) for keys in KEYS) >= CONTAINED * COVERED * len(own)
+
+
 def repeated(text: str) -> bool:
     """Is the whole text one short unit again and again?"""
     if len(set(text[:200])) > 24:  # more signs than a short unit and its separators have
@@ -234,10 +254,14 @@ class Index:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by term, without those that resemble an exemplar; "" stands for all of them."""
     for batch in batches:
         seen: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
-            seen.update(set(terms(text)))
+            found = set(terms(text))
+            if not resembles(found):
+                seen.update(found)
+                seen[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
 
@@ -265,14 +289,17 @@ def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, reason, coverage): documents to leave out; reason is slot, render, filler, error or
     script.
 
-    Term frequencies are counted over all documents; only terms in more than one of ``RARE``
-    documents, whose number is bounded by RARE times the mean length, are sent to the tasks.  Null,
-    empty and blank texts never count; an empty table gives no rows; repeated rows are judged each.
+    Term frequencies are counted over different texts (numbers aside) that do not resemble an
+    exemplar, so a document is judged alike however many copies of it there are; only terms in more
+    than one of ``RARE`` of them, whose number is bounded by RARE times the mean length, are sent to
+    the tasks.  Null, empty and blank texts never count; an empty table gives no rows; repeated rows
+    are judged each.
     """
-    text = documents.where("text IS NOT NULL").select("text")
-    total = text.count()
-    counted = stored(text.mapInArrow(_count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > total / RARE), "terms")
-    often = {r.term: r.n for r in counted.toLocalIterator()}
+    text = documents.where("text IS NOT NULL").select(F.regexp_replace("text", "[0-9]+", "#").alias("text")).distinct()
+    counted = stored(text.mapInArrow(_count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    total = next((r.n for r in counted.where("term = ''").toLocalIterator()), 0)
+    often = {r.term: r.n for r in counted.where(F.col("n") > total / RARE).toLocalIterator()}
+    often.pop("", None)
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(_judge(often, total), FOUND.replace("long", kind, 1))
 

@@ -197,6 +197,24 @@ def test_residue_table(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+NOTICES = [
+    "404 Not Found\n\nThe page you requested could not be located.", "Please enable JavaScript in your browser to view this page of {}.",
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Zugriff verweigert. Vorgang {}.", "Activez les scripts pour afficher {} Saver.",
+]
+
+
+@pytest.mark.parametrize("notice", NOTICES)
+def test_residue_of_a_third_of_all_rows(spark, notice):
+    verbs, things = "returns checks closes moves signs renews".split(), "account card loan order letter transfer mandate statement deposit limit".split()
+    sound = [(i, f"The {things[i % 10]} team {verbs[i % 6]} the {things[i // 6 % 10]} for the holder before noon. It is logged for {things[i // 10 % 10]} desk {'abcdef'[i % 6]}.") for i in range(120)]
+    copies = [(1000 + i, notice.format(f"{'klmnopqrst'[i % 10]}{'uvwxyz'[i // 10]}ar")) for i in range(60)]
+    df = spark.createDataFrame(sound + copies, "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue(df).collect()} == {i for i, _ in copies}
+    again = [(1000 + i, notice.format(i)) for i in range(60)]
+    df = spark.createDataFrame(sound + again, "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue(df).collect()} == {i for i, _ in again}
+
+
 def test_queries_run(spark):
     from loomlake.llm import queries
     from tests.conftest import SMALL
