@@ -1,9 +1,9 @@
 """Evaluation items inside training messages (problem 4).
 
-Every window of ``RUN`` words of an item holds the window's rarest sequence of ``SEED`` words as a
-seed; rarity is counted over all messages.  Messages with a seed are aligned with the item by
-Smith-Waterman, which also scores edited copies, and an exact test of ``RUN`` consecutive words
-follows.  Items are the stated query set: they are read in blocks of ``ITEMS``, one pass each.
+A message is aligned with an item by Smith-Waterman, which also scores edited copies, if both share
+a run of ``RUN`` words, or so many words, wherever they stand, that the alignment can reach
+``SHARE``; no other message can be a leak.  An exact test of ``RUN`` consecutive words follows.
+Items are the stated query set: they are read in blocks of ``ITEMS``, one pass each.
 """
 
 from __future__ import annotations
@@ -16,17 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.texts import U64, grams, hashed, split_of, words
-from loomlake.workspace import stored
+from loomlake.llm.texts import U64, grams, split_of, words
 
 #: Consecutive words that make a leak, as TESTDATA.md gives them for this problem.
 RUN = 13
-SEED = 5
-#: Items of one pass; their sequences are the only thing each task is sent.
+#: Items of one pass; their words are the only thing each task is sent.
 ITEMS = 20_000
 #: Smith-Waterman scores: equal words, different words, a gap; least share of a perfect score.
 EQUAL, DIFFERENT, GAP, SHARE = 2, -1, -1, 0.5
 STEP = 2000
+#: Counters of shared words, and cells of alignments, that are held at a time.
+CELLS, TOGETHER = 500_000, 50_000
 
 
 def _fields(items: list) -> list[tuple[str, str, list[str]]]:
@@ -40,36 +40,102 @@ def _fields(items: list) -> list[tuple[str, str, list[str]]]:
     return out
 
 
-def _hits(known: np.ndarray):
-    """Messages with a sequence of the items: (sample_id, msg_index, hits, text)."""
+class Known:
+    """The fields of one block of items, by words and by runs.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                with np.errstate(over="ignore"):
-                    flat, counts = hashed(part.column(2).to_pylist())
-                    x, owner, _ = grams(flat, counts, SEED)
-                if not len(x):
-                    continue
-                near = np.searchsorted(known, x)
-                near[near == len(known)] = 0
-                hit = known[near] == x
-                x, owner = x[hit], owner[hit]
-                if not len(x):
-                    continue
-                order = np.lexsort((x, owner))
-                x, owner = x[order], owner[order]
-                keep = np.r_[True, (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])]
-                x, owner = x[keep], owner[keep]
-                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                rows = pa.array(owner[starts])
-                lists = pa.ListArray.from_arrays(np.r_[starts, len(x)].astype(np.int32), x.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), lists, part.column(2).take(rows)], names=["sample_id", "msg_index", "hits", "text"]
-                )
-
-    return scan
+    The n-th occurrence of a word in a text is its own token, so common tokens are common words.
+    A share of ``SHARE`` needs ``need`` matched words: equal words alone earn score.  Each field is
+    indexed by all but ``left`` of its tokens, the most frequent ones, and a message that reaches
+    the share holds at least ``need - left`` of the indexed ones.
+    """
+
+    def __init__(self, fields: list[tuple[str, str, list[str]]]):
+        self.fields = fields
+        self.ids: dict[str, int] = {}
+        self.texts = [np.fromiter((self.ids.setdefault(w, len(self.ids)) for w in ws), np.int64, len(ws)) for _, _, ws in fields]
+        counts = np.fromiter(map(len, self.texts), np.int64, len(fields))
+        flat = np.concatenate(self.texts)
+        field, word, nth = occurrences(np.repeat(np.arange(len(fields)), counts), flat)
+        self.most = np.zeros(len(self.ids), np.int64)  # occurrences of a word in one field
+        np.maximum.at(self.most, word, nth + 1)
+        self.first = np.cumsum(self.most) - self.most
+        token = self.first[word] + nth
+        often = np.bincount(token, minlength=int(self.most.sum()))
+        order = np.lexsort((token, often[token], field))
+        field, token = field[order], token[order]
+        need = np.ceil(SHARE * counts).astype(np.int64)
+        left = (need - 1) // 2
+        self.least = need - left
+        rank = np.arange(len(token)) - (np.cumsum(counts) - counts)[field]
+        kept = rank < (counts - left)[field]
+        field, token = field[kept], token[kept]
+        order = np.argsort(token, kind="stable")
+        self.postings = field[order]
+        self.at = np.searchsorted(token[order], np.arange(len(often) + 1))
+        with np.errstate(over="ignore"):
+            x, owner, _ = grams(flat.view(U64), counts, RUN)
+        self.runs: dict[int, list[int]] = defaultdict(list)
+        for h, f in set(zip(x.tolist(), owner.tolist(), strict=True)):
+            self.runs[h].append(f)
+        self.sorted_runs = np.unique(x)
+
+    def near(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (message, field) that may reach the share."""
+        inside = flat >= 0
+        message, word, nth = occurrences(np.repeat(np.arange(len(counts)), counts)[inside], flat[inside])
+        kept = nth < self.most[word]
+        message, token = message[kept], (self.first[word] + nth)[kept]
+        n, found = len(self.fields), []
+        rows = max(1, CELLS // n)
+        for begin in range(0, len(counts), rows):
+            part = slice(*np.searchsorted(message, (begin, begin + rows)))
+            start, size = self.at[token[part]], np.diff(self.at)[token[part]]
+            if not size.sum():
+                continue
+            where = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cell = np.repeat(message[part] - begin, size) * n + self.postings[where]
+            shared = np.bincount(cell, minlength=rows * n).reshape(rows, n)
+            m, f = np.nonzero(shared >= self.least)
+            found.append((m + begin, f))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([m for m, _ in found]), np.concatenate([f for _, f in found])
+
+    def alike(self, flat: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
+        """Pairs (message, field) that have a run of ``RUN`` words in common."""
+        with np.errstate(over="ignore"):
+            x, owner, _ = grams(flat.view(U64), counts, RUN)
+        place = np.searchsorted(self.sorted_runs, x)
+        place[place == len(self.sorted_runs)] = 0
+        hit = self.sorted_runs[place] == x
+        return {(m, f) for h, m in set(zip(x[hit].tolist(), owner[hit].tolist(), strict=True)) for f in self.runs[h]}
+
+    def leaks(self, texts: list[str]) -> list[list[tuple]]:
+        """For each text (item_id, field, score, share, exact) of every alignment that counts."""
+        lists = [words(t) for t in texts]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((self.ids.get(w, -1) for ws in lists for w in ws), np.int64, int(counts.sum()))
+        ends = np.cumsum(counts)
+        runs = self.alike(flat, counts)
+        pairs = sorted(runs | set(zip(*(x.tolist() for x in self.near(flat, counts)), strict=True)))
+        scores = local_scores([(flat[ends[m] - counts[m] : ends[m]], self.texts[f]) for m, f in pairs])
+        out: list[list[tuple]] = [[] for _ in texts]
+        for (m, f), score in zip(pairs, scores.tolist(), strict=True):
+            item, field, theirs = self.fields[f]
+            share = score / (EQUAL * len(theirs))
+            exact = (m, f) in runs and common_run(lists[m], theirs, RUN)
+            if exact or share >= SHARE:
+                out[m].append((item, field, score, share, exact))
+        return out
+
+
+def occurrences(owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, word, n) ordered by owner and word: n counts a word's earlier occurrences there."""
+    order = np.lexsort((word, owner))
+    owner, word = owner[order], word[order]
+    fresh = np.r_[True, (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])][: len(word)]
+    start = np.flatnonzero(fresh)
+    return owner, word, np.arange(len(word)) - np.repeat(start, np.diff(np.r_[start, len(word)]))
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -94,35 +160,50 @@ def common_run(a: list[str], b: list[str], n: int) -> bool:
     return any(tuple(a[i : i + n]) in there for i in range(len(a) - n + 1))
 
 
-def _align(fields: list[tuple[str, str, list[str]]], seeds: dict[int, list[int]]):
-    """Messages with hits -> alignments with the items whose seeds they hold."""
+def local_scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The best score of ``smith_waterman`` for each pair (message, field), many pairs at a time."""
+    scores = np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    begin = 0
+    while begin < len(order):
+        wide, long, part = len(pairs[order[begin]][1]), 0, []
+        for i in order[begin : begin + max(1, TOGETHER // wide)]:
+            long = max(long, len(pairs[i][0]))
+            if part and (len(pairs[i][1]) > 1.25 * wide or (len(part) + 1) * long > CELLS):
+                break
+            part.append(i)
+        begin += len(part)
+        n, wide, long = len(part), max(len(pairs[i][1]) for i in part), max(len(pairs[i][0]) for i in part)
+        a, b = np.full((long, n), -1, np.int32), np.full((n, wide), -2, np.int32)  # the fillings equal nothing
+        for k, i in enumerate(part):
+            a[: len(pairs[i][0]), k], b[k, : len(pairs[i][1])] = pairs[i]
+        slope = np.arange(wide + 1, dtype=np.int32) * np.int32(GAP)
+        row, best = np.zeros((n, wide + 1), np.int32), np.zeros((n, wide + 1), np.int32)
+        for w in a:
+            fresh = np.zeros_like(row)
+            np.maximum(row[:, :-1] + np.where(b == w[:, None], np.int32(EQUAL), np.int32(DIFFERENT)), row[:, 1:] + np.int32(GAP), out=fresh[:, 1:])
+            np.maximum(fresh, 0, out=fresh)
+            row = np.maximum.accumulate(fresh - slope, axis=1) + slope
+            np.maximum(best, row, out=best)
+        scores[part] = best.max(axis=1)
+    return scores
+
+
+def _align(fields: list[tuple[str, str, list[str]]]):
+    """Messages -> alignments with the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[str, int] = {}
-        number = lambda ws: np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws))
+        known = Known(fields)
         names = ["item_id", "field", "sample_id", "msg_index", "score", "share", "exact"]
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
         for batch in batches:
-            out = []
-            for sid, at, hits, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                found = sorted({f for h in hits for f in seeds.get(h, ())})
-                if not found:
-                    continue
-                w = words(text)
-                mine = number(w)
-                for f in found:
-                    item, field, theirs = fields[f]
-                    there = number(theirs)
-                    inside = np.flatnonzero(np.isin(mine, there))
-                    # an alignment cannot leave the words around the item's own by more than its length
-                    low, high = max(0, inside[0] - len(theirs)), inside[-1] + len(theirs) + 1
-                    score, _ = smith_waterman(mine[low:high], there)
-                    share = score / (EQUAL * len(theirs))
-                    exact = common_run(w, theirs, RUN)
-                    if exact or share >= SHARE:
-                        out.append((item, field, sid, at, score, share, exact))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for at in range(0, batch.num_rows, STEP):
+                sids, places, texts = (batch.column(i).slice(at, STEP).to_pylist() for i in range(3))
+                different = list(dict.fromkeys(texts))
+                found = dict(zip(different, known.leaks(different), strict=True))
+                out = [(item, field, sid, i, *rest) for sid, i, text in zip(sids, places, texts, strict=True) for item, field, *rest in found[text]]
+                columns = list(zip(*out, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -146,22 +227,5 @@ def leaks(samples: DataFrame, items: DataFrame, split_rows: DataFrame) -> DataFr
     result = spark.createDataFrame([], LEAKS)
     asked = _fields(items.select("item_id", "question", "answer").toLocalIterator())
     for begin in range(0, len(asked), ITEMS):
-        fields = asked[begin : begin + ITEMS]
-        with np.errstate(over="ignore"):
-            flat, counts = hashed([" ".join(w) for _, _, w in fields])
-            x, owner, position = grams(flat, counts, SEED)
-        hits = stored(messages.mapInArrow(_hits(np.unique(x)), "sample_id string, msg_index long, hits array<long>, text string"), "hits")
-        rarity = hits.select(F.explode("hits").alias("seed")).groupBy("seed").count()
-        often = {r.seed: r["count"] for r in rarity.toLocalIterator()}  # at most the sequences of one block of items
-        seeds: dict[int, list[int]] = defaultdict(list)
-        width = RUN - SEED + 1
-        lines = x.view(np.int64)
-        for f in range(len(fields)):
-            own = lines[slice(*np.searchsorted(owner, (f, f + 1)))]
-            for i in range(len(own) - width + 1):
-                window = own[i : i + width]
-                rarest = min(window.tolist(), key=lambda s: (often.get(s, 0), s))
-                if often.get(rarest, 0) and f not in seeds[rarest]:
-                    seeds[rarest].append(f)
-        result = result.union(hits.mapInArrow(_align(fields, dict(seeds)), LEAKS))
+        result = result.union(messages.mapInArrow(_align(asked[begin : begin + ITEMS]), LEAKS))
     return result.dropDuplicates(["item_id", "field", "sample_id", "msg_index"]).join(train, "sample_id", "left_semi")

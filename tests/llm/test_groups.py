@@ -191,6 +191,41 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(s.limit(0), df, sp).count() == leakage.leaks(s, df.limit(0), sp).count() == 0
 
 
+def test_leaks_of_edited_copies_equal_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    rng, common = random.Random(5), [f"c{i}" for i in range(12)]
+    fields = {f"i{n}": [rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(60)}" for _ in range(length)] for n, length in enumerate((13, 16, 24, 40, 60))}
+    texts = {}
+    for item, w in fields.items():
+        for every in (2, 3, 4, 5, 6, 9):
+            texts[f"{item} replaced {every}"] = ["new" if i % every == every - 1 else x for i, x in enumerate(w)]
+            texts[f"{item} dropped {every}"] = [x for i, x in enumerate(w) if i % every != every - 1]
+            texts[f"{item} widened {every}"] = [y for i, x in enumerate(w) for y in ([x, "more"] if i % every == every - 1 else [x])]
+        texts[f"{item} amid"] = ["x"] * 50 + texts[f"{item} replaced 3"] + ["y"] * 50
+        texts[f"{item} half"] = w[: len(w) // 2]
+        texts[f"{item} shuffled"] = rng.sample(w, len(w))
+    for n in range(40):
+        texts[f"hot {n}"] = texts["i3 replaced 4"]
+        texts[f"other {n}"] = [rng.choice(common + [f"w{i}" for i in range(60)]) for _ in range(40)]
+    number: dict = {}
+    coded = lambda ws: np.array([number.setdefault(x, len(number)) for x in ws])
+    want = set()
+    for item, w in fields.items():
+        for sid, t in texts.items():
+            score, _ = leakage.smith_waterman(coded(t), coded(w))
+            exact = leakage.common_run(t, w, 13)
+            if exact or score >= len(w):
+                want.add((item, sid, score, exact))
+    s = samples(spark, [(k, " ".join(t)) for k, t in texts.items()] + [("none", ""), ("blank", "?!")])
+    items = spark.createDataFrame([(k, " ".join(w), None) for k, w in fields.items()], "item_id string, question string, answer string")
+    out = leakage.leaks(s, items, split_rows(spark, [(k, "train") for k in texts]))
+    assert {(r.item_id, r.sample_id, r.score, r.exact) for r in out.collect()} == want
+    assert sum(not exact for *_, exact in want) > 60
+
+
 def test_smith_waterman_score():
     import numpy as np
 
