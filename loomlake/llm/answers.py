@@ -122,7 +122,7 @@ def is_copy(question: str, answer: str) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    if len(answer) > 420 or "```" in answer:
+    if "```" in answer:
         return False
     declined, rest = False, 0
     for sentence in _SENTENCE.split(answer.strip()):
@@ -131,7 +131,9 @@ def is_refusal(answer: str) -> bool:
             declined = True
         elif not COURTESY.search(sentence) and len(words(sentence)) > 1:
             rest += len(words(sentence))
-    return declined and rest <= 3
+            if rest > 3:
+                return False
+    return declined
 
 
 def unfinished(answer: str) -> str | None:

@@ -197,6 +197,12 @@ def test_residue_table(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_long_refusal():
+    text = "I'm sorry, but I can't help with that. " * 12
+    assert len(text) > 420 and answers.is_refusal(text)
+    assert not answers.is_refusal(text + "The standing order ends on the last day of the month.")
+
+
 NOTICES = [
     "404 Not Found\n\nThe page you requested could not be located.", "Please enable JavaScript in your browser to view this page of {}.",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Zugriff verweigert. Vorgang {}.", "Activez les scripts pour afficher {} Saver.",
