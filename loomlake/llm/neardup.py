@@ -128,7 +128,8 @@ def near_duplicate_groups(samples: DataFrame, cap: int = pairing.CAP) -> DataFra
 
     Samples are joined by pairs with similarity >= 0.6, directly or through others; ``group_id``
     is the group's smallest ``sample_id``; ``links`` counts the verified links of the sample's
-    text to different texts.  Copies share a node.  Redelivered rows count once; samples with a
+    text that were used to join the group, which in buckets above ``cap`` are fewer than its similar
+    texts.  Copies share a node.  Redelivered rows count once; samples with a
     null id or fewer than three words belong to no group; no rows give no groups; other columns
     are ignored.  Buckets above ``cap`` are compared by blocks.
     """
