@@ -197,12 +197,14 @@ _NONE = rf"(?<![\"'])[:=]\s*None\b{_PLACE}"
 #: All shapes, the strongest meaning first.
 SHAPE = re.compile(rf"(?P<failed>{_FAILED}) | (?P<weak>{_NONE}) | (?P<slot>{_STRONG}) | (?P<mask>{_MASK}) | (?P<blank>{_BLANK}) | (?P<todo>{_TODO}) | (?P<maybe>{_WEAK})", re.X | re.M)
 #: Signs without which no shape can stand in a text; most texts need no closer look.
-_HINT = re.compile(r"[}\]>»~|]|\)\)|__|@@|%[A-Za-z!]|\#[A-Z]|\#\w+\#|\$\w+\$|XX|TODO|FIXME|TB[DCA]|MM|YY|JJ|undefined|[Nn]a[Nn]\b|null|None\b|Invalid Date")
+_SIGNS = ("}", "]", ">", "»", "~", "|", "))", "__", "@@", "%", "#", "$", "XX", "TODO", "FIXME", "TBD", "TBC", "TBA", "MM", "YY", "JJ", "undefined", "null", "None", "Invalid")
+_NAN = re.compile(r"\b[Nn]a[Nn]\b")
 _QUOTED = re.compile(r"```.*?```|`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]", re.S)
 _PASSAGE = re.compile(r"\n+|(?<=[.!?;。！？])\s+")
 _DIGITS = re.compile(r"\d+")
-#: A program's name of an error.
-_EXCEPTION = re.compile(r"\b(?:[A-Z][a-z]+)+(?:Error|Exception|Failed|Failure|Fault)\b")
+#: A program's name of an error: words in one, the last of them one of these.
+_RAISED = ("Error", "Exception", "Failed", "Failure", "Fault")
+_EXCEPTION = re.compile(rf"\b(?:[A-Z][a-z]+)+(?:{'|'.join(_RAISED)})\b")
 #: A reference number with its letters.
 _REFERENCE = re.compile(r"\b[A-Z]{1,5}-?\d+\b")
 _TERM = re.compile(r"‹\w+›|[^\W_]+|#")
@@ -225,11 +227,17 @@ def field(name: str) -> bool:
     return "_" in name or all(w in FIELDS for w in _LETTERS.findall(low))
 
 
+def _may_hold(text: str) -> bool:
+    return any([x in text for x in _SIGNS]) or (("NaN" in text or "nan" in text) and bool(_NAN.search(text)))
+
+
 def shapes(text: str) -> list[tuple[str, str]]:
     """(shape, window): each slot or failed value outside of quotes and code, with the words around it."""
-    if not _HINT.search(text):
+    if not _may_hold(text):
         return []
     bare = _QUOTED.sub(" ", text)
+    if not _may_hold(bare):
+        return []
     found = []
     for m in SHAPE.finditer(bare):
         kind = m.lastgroup
@@ -278,15 +286,27 @@ def resembles(found: set[str]) -> bool:
 
 def natural(found: list[str]) -> bool:
     """Has a document so many short or function words that no great part of it can be unnatural?"""
-    return sum(len(w) <= 3 or w in COMMON for w in found) >= 0.3 * len(found)
+    return len([1 for w in found if len(w) <= 3 or w in COMMON]) >= 0.3 * len(found)
+
+
+class Weights(dict):
+    """term -> min(log(documents / frequency), log(RARE)); a number, a function word or a word that
+    every document has weighs little, and a word that is not listed as frequent weighs most."""
+
+    def __init__(self, often: dict[str, int], documents: int):
+        self.top = math.log(min(RARE, documents))
+        super().__init__({x: max(min(math.log(documents / n), self.top), 0.1) for x, n in often.items()} | dict.fromkeys(COMMON, 0.1))
+
+    def __missing__(self, term: str) -> float:
+        return self.top
 
 
 class Index:
     """Exemplars by term, with TF-IDF weights from a corpus."""
 
     def __init__(self, often: dict[str, int], documents: int):
-        self.often, self.documents = often, max(documents, 3)
-        self.top = math.log(min(RARE, self.documents))
+        weights = Weights(often, max(documents, 3))
+        self.weight, self.top = weights.__getitem__, weights.top
         self.exemplars: list[tuple[str, frozenset[str], float]] = []
         self.postings: dict[str, list[int]] = defaultdict(list)
         for label, lines in EXEMPLARS.items():
@@ -298,13 +318,7 @@ class Index:
                 if self.weight(x) >= 0.5 * self.top:
                     self.postings[x].append(n)
         self.words = frozenset(self.postings)
-
-    def weight(self, term: str) -> float:
-        """min(log(documents / frequency), log(RARE)); a number, a function word or a word that every document has weighs little."""
-        if term in COMMON:
-            return 0.1
-        n = self.often.get(term)
-        return self.top if n is None else max(min(math.log(self.documents / n), self.top), 0.1)
+        self.own = {x: self.weight(x) for _, t, _ in self.exemplars for x in t}
 
     def window(self, t: set[str]) -> tuple[float, str | None]:
         """(weight, label): the label of the best exemplar if it and its like contain enough of the window's terms."""
@@ -348,16 +362,19 @@ class Index:
                 return label, 1.0
         if repeated(text):
             return self.window({"‹repeat›"})[1], 1.0
+        text = _REFERENCE.sub("#", text)
+        if any(x in text for x in _RAISED):
+            text = _EXCEPTION.sub("‹exception›", text)
         found = terms(text)
         odd = not natural(found)
-        if self.words.isdisjoint(found) and not odd:
-            return None, 0.0
+        if not odd and sum([self.own[x] for x in found if x in self.own]) < CONTAINED * COVERED * sum(map(self.weight, set(found))):
+            return None, 0.0  # labelled passages hold less than this weight of exemplars' terms, with repeats
         whole, held, need = 0.0, Counter(), COVERED
         for part in _PASSAGE.split(text):
             if not part.strip():
                 continue
             strange = {w for w in unnatural(part) if self.weight(w) == self.top} if odd else ()
-            t = set(terms(_REFERENCE.sub("#", _EXCEPTION.sub("‹exception›", part))))
+            t = set(terms(part))
             if len(strange) >= 0.7 * len(t):  # its words are one shape
                 weight, label = self.top * len(t), self.window({"‹unnatural›"})[1]
             else:
