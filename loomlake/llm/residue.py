@@ -197,7 +197,8 @@ _NONE = rf"(?<![\"'])[:=]\s*None\b{_PLACE}"
 #: All shapes, the strongest meaning first.
 SHAPE = re.compile(rf"(?P<failed>{_FAILED}) | (?P<weak>{_NONE}) | (?P<slot>{_STRONG}) | (?P<mask>{_MASK}) | (?P<blank>{_BLANK}) | (?P<todo>{_TODO}) | (?P<maybe>{_WEAK})", re.X | re.M)
 #: Signs without which no shape can stand in a text; most texts need no closer look.
-_SIGNS = ("}", "]", ">", "»", "~", "|", "))", "__", "@@", "%", "#", "$", "XX", "TODO", "FIXME", "TBD", "TBC", "TBA", "MM", "YY", "JJ", "undefined", "null", "None", "Invalid")
+_SIGNS = ("}", "]", ">", "»", "~", "|", "))", "__", "@@", "XX", "TODO", "FIXME", "TBD", "TBC", "TBA", "MM", "YY", "JJ", "undefined", "null", "None", "Invalid")
+_PAIRED = re.compile(r"[#$%][^\W\d][\w .\-]*[#$%]|#[A-Z]|%!")
 _NAN = re.compile(r"\b[Nn]a[Nn]\b")
 _QUOTED = re.compile(r"```.*?```|`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]", re.S)
 _PASSAGE = re.compile(r"\n+|(?<=[.!?;。！？])\s+")
@@ -228,7 +229,7 @@ def field(name: str) -> bool:
 
 
 def _may_hold(text: str) -> bool:
-    return any([x in text for x in _SIGNS]) or (("NaN" in text or "nan" in text) and bool(_NAN.search(text)))
+    return any([x in text for x in _SIGNS]) or (("#" in text or "%" in text or text.count("$") > 1) and bool(_PAIRED.search(text))) or (("NaN" in text or "nan" in text) and bool(_NAN.search(text)))
 
 
 def shapes(text: str) -> list[tuple[str, str]]:
