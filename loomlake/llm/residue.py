@@ -180,7 +180,7 @@ _NAME = r"[^\W\d_][\w]*(?:[ .\-][^\W\d_]\w*)*"
 _STRONG = rf"""\{{\{{[{{%]?\s*{_NAME}\s*[%}}]?\}}\}} | \{{%\s*{_NAME}\s*%\}} | \$\{{\s*{_NAME}\s*\}} | \#\{{\s*{_NAME}\s*\}} | <%=?\s*{_NAME}\s*%> | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>>
     | \(\(\s*{_NAME}\s*\)\) | @@\s*{_NAME}\s*@@ | %%\s*{_NAME}\s*%% | \*\|\s*{_NAME}\s*\|\* | (?<!\w)__[^\W_]\w*?__(?!\w)
     | [\[<{{(](?i:insert|enter|add|type|your|fill\s+in|placeholder|todo|tbd|tbc|inserte|introduzca|su|insérez|votre|saisir|hier|ihr|ihre)\s+[^\]>}})\n]*[\]>}})]
-    | <!--[^>]*\b(?i:replace|insert|placeholder|todo|tbd|fill\s+in)\b[^>]*-->"""
+    | <!--[^>\n]*\b(?i:replace|insert|placeholder|todo|tbd|fill\s+in)\b[^>\n]*-->"""
 _WEAK = rf"""(?<![\w$\{{\\%])\{{\s*({_NAME})\s*\}}(?!\}}) | \[\s*({_NAME})\s*\](?!\() | <\s*({_NAME})\s*> | «\s*({_NAME})\s*» | (?<![\w%])%({_NAME})%(?!\w) | (?<![\w\#])\#({_NAME})\#(?!\w)
     | (?<![\w$])\$({_NAME})\$(?!\w) | (?<![\w~])~({_NAME})~(?![\w~]) | (?<![\w|])\|({_NAME})\|(?![\w|])"""
 #: Format masks, blanks, notes to the writer.
@@ -237,19 +237,16 @@ def shapes(text: str) -> list[tuple[str, str]]:
     if not _may_hold(text):
         return []
     bare = _QUOTED.sub(" ", text)
-    if not _may_hold(bare):
-        return []
     found = []
-    for m in SHAPE.finditer(bare):
-        kind = m.lastgroup
-        if kind == "maybe" or kind is None:
-            if not field(next(g for g in m.groups()[::-1] if g)):
-                continue
-            kind = "slot"
-        start, end = bare.rfind("\n", 0, m.start()) + 1, bare.find("\n", m.end())
-        before = terms(bare[start : m.start()])[-AROUND:]
-        after = terms(bare[m.end() : len(bare) if end < 0 else end])[:AROUND]
-        found.append((f"‹{kind}›", " ".join([*before, f"‹{kind}›", *after])))
+    for line in filter(_may_hold, bare.split("\n")):
+        for m in SHAPE.finditer(line):
+            kind = m.lastgroup
+            if kind == "maybe" or kind is None:
+                if not field(next(g for g in m.groups()[::-1] if g)):
+                    continue
+                kind = "slot"
+            before, after = terms(line[: m.start()])[-AROUND:], terms(line[m.end() :])[:AROUND]
+            found.append((f"‹{kind}›", " ".join([*before, f"‹{kind}›", *after])))
     if sum(k == "‹weak›" for k, _ in found) > 1:  # one such word may be meant, two are not
         found = [(k, w + " ‹twice›" if k == "‹weak›" else w) for k, w in found]
     return found
@@ -368,6 +365,8 @@ class Index:
             text = _EXCEPTION.sub("‹exception›", text)
         found = terms(text)
         odd = not natural(found)
+        if not odd and self.words.isdisjoint(found):
+            return None, 0.0
         if not odd and sum([self.own[x] for x in found if x in self.own]) < CONTAINED * COVERED * sum(map(self.weight, set(found))):
             return None, 0.0  # labelled passages hold less than this weight of exemplars' terms, with repeats
         whole, held, need = 0.0, Counter(), COVERED
