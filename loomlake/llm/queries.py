@@ -51,6 +51,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.defective_answers(table(spark, d, "samples"))
 
 
+def p5_steps(spark: SparkSession, d: str) -> DataFrame:
+    return answers.judged_answers(table(spark, d, "samples"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "samples")).select("sample_id", "group_id")
 
@@ -86,4 +90,4 @@ def p10_residue(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p9_found, p10_found, p10_residue)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p5_steps, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p9_found, p10_found, p10_residue)}

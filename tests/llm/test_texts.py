@@ -42,9 +42,7 @@ Q = "When will you release the standing order on the Hollin Saver within 9 days?
 LIST = "Please follow these steps:\n- Open the app\n- Sign the form"
 
 
-@pytest.mark.parametrize(
-    ("question", "answer", "defect"),
-    [
+CASES = [
         (Q, None, "empty"), (Q, " \n", "empty"), (Q, "[no response]", "empty"), (Q, "N/A", "empty"), (Q, "—", "empty"), (Q, "No", None), (Q, "7 business days", None),
         (Q, Q.upper(), "copy"), (Q, "You asked: " + Q, "copy"), (Q, Q + " The desk releases it on Monday after the branch manager has signed the form twice.", None),
         (Q, "I'm sorry, but I can't help with that.", "refusal"), (Q, "Als virtuelle Assistenz muss ich die Anfrage ablehnen. Vielen Dank für Ihr Verständnis.", "refusal"),
@@ -55,11 +53,21 @@ LIST = "Please follow these steps:\n- Open the app\n- Sign the form"
         (Q, "The desk releases the standing order and the", "truncated"), (Q, "The desk releases the order under…", "truncated"), (Q, 'The desk will release it to "', "truncated"),
         (Q, "It is done.\n```json\n{\"a\": 1", "truncated"), (Q, "It is done.\n```json\n{\"a\": 1}\n```", None), (Q, "Which account do you mean?", None),
         (Q, LIST, None), (Q, LIST + "\n- ", "truncated"), (Q, "Do this:\n1. Open the app.\n2.", "truncated"), (Q, "Do this:\n1. Open the app.\n2. Sign it.", None), (Q, "The desk releases the order within nine days. 🙂", None), (None, "The desk does it.", None),
-    ],
-)
-def test_defects(question, answer, defect):
-    found, ending = answers.defect_of(question or "", answer)
-    assert found == defect, ending
+]
+FRESH = [
+    *((Q, a, "refusal") for a in ("That's beyond my remit.", "I will have to pass on this one.", "I'm afraid I'm not able to answer this.", "Leider kann ich dazu nichts sagen.", "Mi dispiace, non posso aiutarti con questo.", "Lamento, não posso responder.")),
+    *((Q, a, "other_language") for a in ("La filiale della banca libera il bonifico entro nove giorni e non chiede altro ai clienti.", "Отделение банка освобождает поручение в течение девяти дней.", "De bank geeft de opdracht binnen negen dagen vrij en stuurt het formulier naar de klant.")),
+    *((Q, a, "empty") for a in ("(no content)", "[empty response]", "(sin respuesta)", "keine Antwort", "n/a", "No answer available")), (Q, "Not available on Sundays", None), (Q, "No fee", None),
+    (Q, "When do you release my standing order on the Hollin Saver, within 9 days?", "copy"), (Q, "It is 14 days from delivery of the card", None), (Q, "Open Settings > Cards > Delivery", None), (Q, "Which standing order do you mean, the one on the Hollin Saver?", None),
+    (Q, "The desk opens it. The desk signs it and sends the lett", "truncated"), (Q, "The desk opens it and sends the letter to the holder.", None), (Q, "It is sent to the holder by", "truncated"),
+]
+
+
+def test_defects(spark):
+    cases = CASES + FRESH
+    df = samples(spark, [(str(i), [message("user", q), message("assistant", a)]) for i, (q, a, _) in enumerate(cases)])
+    got = {int(r.sample_id): r.defect for r in answers.defective_answers(df).collect()}
+    assert [(a, d, got.get(i)) for i, (_, a, d) in enumerate(cases) if got.get(i) != d] == []
 
 
 def test_defective_pairs(spark):
@@ -89,6 +97,32 @@ def test_shortened_versions_across_partitions(spark):
     assert got == set(texts[:58])
 
 
+def test_a_shortened_version_is_found_behind_other_neighbours(spark):
+    short = "The desk opens the account for every holder on Monday and asks for"
+    texts = [short, short + "\n- a note", *(f"{short}\n- note {i:03d}" for i in range(40)), short + " a sign."]
+    got = {r.answer for r in answers.shortened(spark.createDataFrame([(t,) for t in texts], "answer string")).collect()}
+    assert short in got
+
+
+def test_length_limits(spark):
+    text = lambda size, i: f"{i:04d} " + "x" * (size - 5)
+    spread = [text(n, i) for n in range(290, 311) for i in range(18 if n != 300 else 20)]
+    assert answers.length_spikes(spark.createDataFrame([(t,) for t in spread], "answer string")).count() == 0
+    limit = [text(n, i) for n in range(290, 311) for i in range(2)] + [text(299, 10 + i) for i in range(20)]
+    df = spark.createDataFrame([(t,) for t in limit * 2], "answer string")
+    assert [r[0] for r in answers.length_spikes(df).collect()] == [299]
+    copies = spark.createDataFrame([("the same answer that many give without a sign",)] * 50, "answer string")
+    assert answers.length_spikes(copies).count() == 0
+
+
+def test_runs_of_words_decide_a_doubt(spark):
+    whole = [f"The team checks form {i}. It sends the replacement card to the holder." for i in range(6)]
+    rows = [*whole, "It checks the form. It sends the repl", "It checks the form. It sends the replacement card to the", "The team checks. It sends the replacement card to the holder", "- checks form 7\n- sends the replacement card to the holder"]
+    df = samples(spark, [(str(i), [message("user", "What is sent?"), message("assistant", t)]) for i, t in enumerate(rows)])
+    got = {(r.sample_id, r.defect, r.step) for r in answers.judged_answers(df).collect()}
+    assert got == {("6", "truncated", "neighbours"), ("7", "truncated", "neighbours")}
+
+
 TEXT = st.text(st.sampled_from(list("abc .!?。\n#-🙂é")), max_size=700)
 
 
