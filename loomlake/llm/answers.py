@@ -61,6 +61,7 @@ NAMES = {
 }
 #: Letters of scripts that tell a language by themselves (fixed values).
 SCRIPTS = {"ja": re.compile("[ぁ-ヿ]"), "ko": re.compile("[가-힣]"), "ru": re.compile("[Ѐ-ӿ]"), "ar": re.compile("[؀-ۿ]"), "el": re.compile("[α-ωΑ-Ω]"), "zh": re.compile("[㐀-鿿]")}
+_SCRIPT = re.compile("[ぁ-ヿ가-힣Ѐ-ӿ؀-ۿα-ωΑ-Ω㐀-鿿]")
 #: A wish for a language: a preposition of the languages before its name, or a wish to translate.
 WISH = {k: re.compile(rf"\b(?:in|into|en|al|auf|ins|na)\s+(?:{v})|\b(?:translat|traduc|tradui|übersetz)", re.I) for k, v in NAMES.items()}
 
@@ -70,7 +71,8 @@ _ITEM = re.compile(r"^\s*(?:[-*•–]|\d+[.)])(?:\s+|$)")
 _MARKER = re.compile(r"\s*\d+[.)]")
 _ORDINAL = re.compile(r"\b(?:am|dem|vom|zum)\s+\d{1,2}\.$")
 _CLOSED = re.compile(r"[.!?。！？](?:[\"'”’»)\]]*)$")
-_TAIL = re.compile(r"[\s​‌‍﻿️☀-➿\U0001f000-\U0001faff]+$")
+#: Signs that may stand behind an answer's end: those without width and pictures (fixed values).
+_BEHIND = re.compile("[\u200b\u200c\u200d\ufeff\ufe0f\u2600-\u27bf\U0001f000-\U0001faff]")
 _NUMBER = re.compile(r"\d+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？;])\s+|\n+")
 #: Letters that only one of the languages uses here (fixed values).
@@ -110,17 +112,17 @@ def language(text: str, said: list[str] | None = None) -> str | None:
     """The language of a text by its script or its frequent words; None where too few or no clear lead."""
     if "```" in text:
         text, said = _FENCE.sub(" ", text), None
-    if not text.isascii():
+    plain = text.isascii()
+    if not plain and _SCRIPT.search(text):
         for name, script in SCRIPTS.items():
             if len(script.findall(text)) * 3 > len(text):
                 return name
     score: Counter[str] = Counter()
-    for w in words(text) if said is None else said:
-        known = _LANGUAGES.get(w)
-        if known:
-            for x in known:
-                score[x] += 1 / len(known)
-    if not text.isascii():
+    for w, n in Counter([w for w in (words(text) if said is None else said) if w in _LANGUAGES]).items():
+        known = _LANGUAGES[w]
+        for x in known:
+            score[x] += n / len(known)
+    if not plain:
         low = text.lower()
         for name, mark in _MARKS.items():
             hits = len(mark.findall(low))
@@ -132,11 +134,11 @@ def language(text: str, said: list[str] | None = None) -> str | None:
     return best[0][0] if len(best) < 2 or best[0][1] >= 1.2 * best[1][1] else None
 
 
-def is_empty(answer: str | None) -> bool:
+def is_empty(answer: str | None, bare: list[str] | None = None) -> bool:
     """No word at all, or only words that say so: one of NOTHING, or "no" or "not" with what is missing."""
     if answer is None:
         return True
-    bare = words(answer)
+    bare = words(answer) if bare is None else bare
     if len(bare) > 4:
         return False
     if not bare or all(w in NOTHING for w in bare) or " ".join(bare) in ("n a", "k a"):
@@ -161,8 +163,19 @@ def is_copy(question: str, answer: str, q: list[str] | None = None, a: list[str]
     return again and shared >= 0.6 * len(q) and new <= 0.4 * len(a)
 
 
-def is_refusal(answer: str) -> bool:
-    if "```" in answer:
+#: Words of which every refusal has one.
+DECLINES = frozenset(
+    """
+can cannot could couldn unable able will won must have has ability rather prefer refuse appropriate prevent prevents prohibit prohibits not comment against beyond outside allowed ll pass
+no puedo podemos prefiero debo niego fuera allá ne n préfère dois doit je impossible hors nicht nichts ablehnen keine kein darf dürfen kann können möchte werde will außerhalb
+non posso preferisco devo não prefiro kan
+""".split()
+)
+
+
+def is_refusal(answer: str, said: list[str] | None = None) -> bool:
+    """Does every sentence decline or say something polite, but for at most three words?"""
+    if "```" in answer or DECLINES.isdisjoint(words(answer) if said is None else said):
         return False
     declined, rest = False, 0
     for sentence in _SENTENCE.split(answer.strip()):
@@ -176,10 +189,18 @@ def is_refusal(answer: str) -> bool:
     return declined
 
 
+def bare_end(text: str) -> str:
+    """The text without white space, signs without width and pictures at its end."""
+    end = len(text)
+    while end and (text[end - 1].isspace() or (text[end - 1] > "\u2000" and _BEHIND.match(text[end - 1]))):
+        end -= 1
+    return text[:end]
+
+
 def unfinished(answer: str) -> str | None:
     """'cut' for an answer that shows that it breaks off, 'doubt' for one that only lacks a closing
     sign, None for a finished one."""
-    text = _TAIL.sub("", answer)
+    text = bare_end(answer)
     if text.count("```") % 2:
         return "cut"
     if not text or text.endswith("```"):
@@ -211,7 +232,7 @@ def masked(word: str) -> str:
 def tail(answer: str) -> tuple[str, bool]:
     """(words, closed): the last three words, numbers as #, with ^ for the start of the sentence or
     line; and whether an earlier sentence of the answer has its closing sign, outside of lists."""
-    text = _TAIL.sub("", answer)
+    text = bare_end(answer)
     end = max((m.start() for m in re.finditer(r"[.!?。！？](?=\s)|\n", text)), default=-1)
     w = ["^", "^", *map(masked, words(text[end + 1 :]))]
     closed = bool(re.search(r"[.!?。！？](?=\s)", _MARKERS.sub("", text))) and not _ITEM.match(text[text.rfind("\n") + 1 :])
@@ -224,12 +245,13 @@ _MARKERS = re.compile(r"^\s*\d+[.)]\s", re.M)
 def defect_of(question: str, answer: str | None) -> tuple[str | None, str | None]:
     """(defect, doubt): 'cut' and 'doubt' as ``unfinished`` gives them, for an answer without another
     defect; a cut answer is truncated whatever other answers say."""
-    if is_empty(answer):
+    a = words(answer) if answer else []
+    if is_empty(answer, a):
         return "empty", None
-    q, a = words(question), words(answer)
+    q = words(question)
     if is_copy(question, answer, q, a):
         return "copy", None
-    if is_refusal(answer):
+    if is_refusal(answer, a):
         return "refusal", None
     asked, given = language(question, q), language(answer, a)
     if asked and given and asked != given and not WISH[given].search(question):
