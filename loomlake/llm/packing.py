@@ -23,8 +23,6 @@ from loomlake.workspace import stored
 CAPACITY = 2048
 #: Items that are packed together; loss at a block's end is at most one underfull container.
 BLOCK = 8192
-#: Containers filled below this share are underfull.
-FULL = 0.995
 
 
 def best_fit(sizes: Iterable[int], capacity: int) -> list[list[int]]:
@@ -45,63 +43,76 @@ def best_fit(sizes: Iterable[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: Iterable[int], capacity: int, full: float = FULL) -> list[list[int]]:
+def exchange(sizes: np.ndarray, place: np.ndarray, fill: np.ndarray, source: int, mine: np.ndarray, capacity: int) -> tuple[int, np.ndarray, int, int] | None:
+    """The move between ``source`` and a container at least as full that raises the sum of squared
+    fills most: (load, items out of source, container, item coming back or -1); None if none does.
+
+    One or two items leave, and none or one comes back.  For every item of every container the
+    largest sum of one or two of the source's items that its place and the gap hold is looked up.
+    """
+    own = sizes[mine]
+    first, second = np.triu_indices(len(mine), 1)
+    sums = np.r_[own, own[first] + own[second]]
+    order = np.argsort(sums, kind="stable")
+    sums = sums[order]
+    open_to = (fill >= fill[source]) & (fill < capacity)
+    open_to[source] = False
+    bins = np.flatnonzero(open_to)
+    theirs = np.flatnonzero(open_to[place])
+    at = np.r_[place[theirs], bins]
+    back = np.r_[sizes[theirs], np.zeros(len(bins), np.int64)]
+    pick = np.searchsorted(sums, back + capacity - fill[at], side="right") - 1
+    load = np.where(pick >= 0, sums[pick], 0) - back
+    raised = np.where(load > 0, load * (load + fill[at] - fill[source]), 0)
+    if not len(raised) or not raised.max():
+        return None
+    best = int(np.argmax(raised))
+    chosen = int(order[pick[best]])
+    out = mine[[chosen]] if chosen < len(mine) else mine[[first[chosen - len(mine)], second[chosen - len(mine)]]]
+    return int(load[best]), out, int(at[best]), int(theirs[best]) if best < len(theirs) else -1
+
+
+def improve(bins: list[list[int]], sizes: Iterable[int], capacity: int) -> list[list[int]]:
     """Local search between underfull containers.
 
-    Each step moves load from an emptier container to a fuller one, which raises the sum of
-    squared fills, so it ends; the emptiest container is worked on until nothing in it helps.
+    Each step moves load from a container to a fuller one, which raises the sum of squared fills, so
+    it ends: when no exchange of any container raises it, or no packing has fewer containers.
     """
-    sizes = [int(s) for s in sizes]
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    active = sorted((b for b in range(len(bins)) if fill[b] < full * capacity), key=lambda b: fill[b])
-    for source in active:
-        moved = True
-        while moved and bins[source]:
-            moved = False
-            targets = sorted((b for b in active if b != source and bins[b] and fill[b] >= fill[source] and fill[b] < capacity), key=lambda b: -fill[b])
-            for target in targets:
-                gap = capacity - fill[target]
-                best = (0, None, None)  # (load carried over, items out of source, item out of target)
-                mine = sorted(((sizes[i], i) for i in bins[source]), reverse=True)
-                theirs = sorted((sizes[j], j) for j in bins[target])
-                for n, (size, i) in enumerate(mine):
-                    if best[0] < size <= gap:
-                        best = (size, (i,), None)
-                    for other, j in theirs:
-                        gain = size - other
-                        if gain <= best[0]:
-                            break
-                        if gain <= gap:
-                            best = (gain, (i,), j)
-                            break
-                    if best[0] == gap:
-                        break
-                    for second, k in mine[n + 1 : n + 9]:  # the eight next smaller ones
-                        both = size + second
-                        low = bisect_left(theirs, (both - gap, -1))
-                        if low < len(theirs) and both - theirs[low][0] > best[0]:
-                            best = (both - theirs[low][0], (i, k), theirs[low][1])
-                gain, out, back = best
-                if gain > 0:
-                    for i in out:
-                        bins[source].remove(i)
-                        bins[target].append(i)
-                    if back is not None:
-                        bins[target].remove(back)
-                        bins[source].append(back)
-                    fill[source] -= gain
-                    fill[target] += gain
-                    moved = True
+    sizes = np.asarray(sizes if isinstance(sizes, np.ndarray) else list(sizes), np.int64)
+    least = -(-int(sizes.sum()) // capacity)
+    place = np.empty(len(sizes), np.int64)
+    for n, b in enumerate(bins):
+        place[b] = n
+    fill = np.bincount(place, sizes, len(bins)).astype(np.int64) if len(sizes) else np.zeros(len(bins), np.int64)
+    held = [set(b) for b in bins]
+    left, moved = int(np.count_nonzero(fill)), True
+    while moved and left > least:
+        moved = False
+        for source in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[source] < capacity and left > least:
+                step = exchange(sizes, place, fill, source, np.fromiter(sorted(held[source]), np.int64), capacity)
+                if step is None:
                     break
-        if not bins[source]:
-            fill[source] = 0
-    for source in active:  # empty items left in an otherwise empty container
-        if bins[source] and fill[source] == 0:
-            host = next((b for b in range(len(bins)) if b != source and bins[b] and fill[b] <= capacity), None)
-            if host is not None:
-                bins[host] += bins[source]
-                bins[source] = []
-    return [b for b in bins if b]
+                load, out, target, back = step
+                for i in out.tolist():
+                    held[source].remove(i)
+                    held[target].add(i)
+                place[out] = target
+                if back >= 0:
+                    held[target].remove(back)
+                    held[source].add(back)
+                    place[back] = source
+                fill[source] -= load
+                fill[target] += load
+                moved = True
+                left -= not fill[source]
+    kept = [sorted(b) for b, f in zip(held, fill.tolist(), strict=True) if f]
+    none = [i for b, f in zip(held, fill.tolist(), strict=True) if not f for i in b]  # items without any size
+    if none and not kept:
+        kept.append([])
+    if none:
+        kept[-1] += none
+    return kept
 
 
 def _pack(capacity: int):

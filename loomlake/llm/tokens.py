@@ -133,7 +133,8 @@ class Encoder:
         """Fold the corpus's most frequent words, counted over all rows, into the dictionary."""
         counted = df.select(F.explode(words_of(column)).alias("word")).groupBy("word").count()
         often = counted.where("count > 1").orderBy(F.desc("count"), "word").limit(size).select("word")
-        folded = often.repartition(F.col("word")).select("word", fold(F.col("word").cast("binary"), self.ranks).alias("ids"))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few small words are not put into one task
+        folded = often.repartition(parts, "word").select("word", fold(F.col("word").cast("binary"), self.ranks).alias("ids"))
         rows = folded.collect()  # at most ``size`` words
         self.known = HashMap(self.spark, "words", [r.word.encode() for r in rows], [r.ids for r in rows], T.ArrayType(T.IntegerType()))
         return self

@@ -191,6 +191,52 @@ def test_local_search_empties_a_container():
     assert len(bins) == 2
 
 
+def test_local_search_gains_on_a_hard_block():
+    import time
+
+    sizes = np.random.default_rng(7).integers(500, 1101, 8192)
+    began = time.perf_counter()
+    start = packing.best_fit(sizes, 2048)
+    bins = packing.improve(start, sizes, 2048)
+    assert time.perf_counter() - began < 5
+    assert sorted(i for b in bins for i in b) == list(range(8192)) and max(sizes[b].sum() for b in bins) <= 2048
+    assert len(bins) <= 0.975 * len(start)
+
+
+def test_exchange_raises_the_sum_of_squares_as_much_as_any():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = rng.integers(1, 50, 14)
+        place = rng.integers(0, 5, 14)
+        fill = np.bincount(place, sizes, 5).astype(np.int64)
+        source, mine = int(place[0]), np.flatnonzero(place == place[0])
+        got = packing.exchange(sizes, place, fill, source, mine, 130)
+        outs = [[i] for i in mine] + [[i, k] for n, i in enumerate(mine) for k in mine[n + 1 :]]
+        best = 0
+        for t in range(5):
+            if t != source and fill[source] <= fill[t] < 130:
+                for back in [0, *sizes[place == t]]:
+                    for out in outs:
+                        load = sizes[out].sum() - back
+                        if 0 < load <= 130 - fill[t]:
+                            best = max(best, load * (load + fill[t] - fill[source]))
+        assert best == (got[0] * (got[0] + fill[got[2]] - fill[source]) if got else 0)
+
+
+@needs_files
+def test_containers_hold_every_token_once(spark):
+    from loomlake.llm import queries
+    from tests.conftest import SMALL
+
+    if not os.path.isdir(SMALL):
+        pytest.skip("needs the test tables")
+    rows = queries.p9_containers(spark, SMALL).toPandas()
+    tokens_of = {r.doc_id: len(r.ids) for r in queries.p8_ids(spark, SMALL).collect()}
+    assert rows.groupby("container")["size"].sum().max() <= 2048 and rows.groupby("doc_id")["size"].sum().to_dict() == tokens_of
+    assert (rows.sort_values("piece").groupby("doc_id")["start"].apply(list) == rows.groupby("doc_id")["size"].count().map(lambda n: [2048 * i for i in range(n)])).all()
+    assert rows["container"].nunique() <= -(-sum(tokens_of.values()) // 2048) + 2
+
+
 def test_packed(spark):
     rng = np.random.default_rng(2)
     rows = [(f"d{i}", int(n), 1) for i, n in enumerate(rng.integers(0, 900, 200))] + [("null", None, 1), ("big", 5000, 1), ("even", 4096, 1), ("d0", 7, 1), (None, 3, 1)]
