@@ -1,143 +1,34 @@
 """Evaluation items inside training messages (problem 4).
 
-A message is aligned with an item by Smith-Waterman, which also scores edited copies, if both share
-a run of ``RUN`` words, or so many words, wherever they stand, that the alignment can reach
-``SHARE``; no other message can be a leak.  An exact test of ``RUN`` consecutive words follows.
-Items are the stated query set: they are read in blocks of ``ITEMS``, one pass each.
+Items and messages meet over a table of seeds: pairs of neighbouring words of an item, which a
+message may hold with one word between them, and whole runs of ``RUN`` words.  The messages of train
+are read once for them; a field of an item is then sought by its rarer seeds, as the messages' own
+counts tell, and Smith-Waterman scores every pair that shares enough of them.  No alignment that
+reaches ``SHARE`` can share fewer, so all edited copies are found, and an exact test of ``RUN``
+consecutive words follows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.texts import U64, grams, split_of, words
+from loomlake.llm.texts import MIX, U64, grams, hashed, mix, split_of, words
+from loomlake.workspace import BROADCAST_LIMIT, small, stored
 
 #: Consecutive words that make a leak, as TESTDATA.md gives them for this problem.
 RUN = 13
-#: Items of one pass; their words are the only thing each task is sent.
-ITEMS = 20_000
 #: Smith-Waterman scores: equal words, different words, a gap; least share of a perfect score.
 EQUAL, DIFFERENT, GAP, SHARE = 2, -1, -1, 0.5
 STEP = 2000
-#: Counters of shared words, and cells of alignments, that are held at a time.
+#: Cells of alignments that are held at a time.
 CELLS, TOGETHER = 500_000, 50_000
 
 
-def _fields(items: list) -> list[tuple[str, str, list[str]]]:
-    """(item_id, field, words) of the questions and answers that hold at least one window."""
-    out = []
-    for r in items:
-        for field, text in (("question", r.question), ("answer", r.answer)):
-            w = words(text or "")
-            if r.item_id is not None and len(w) >= RUN:
-                out.append((r.item_id, field, w))
-    return out
-
-
-class Known:
-    """The fields of one block of items, by words and by runs.
-
-    The n-th occurrence of a word in a text is its own token, so common tokens are common words.
-    A share of ``SHARE`` needs ``need`` matched words: equal words alone earn score.  Each field is
-    indexed by all but ``left`` of its tokens, the most frequent ones, and a message that reaches
-    the share holds at least ``need - left`` of the indexed ones.
-    """
-
-    def __init__(self, fields: list[tuple[str, str, list[str]]]):
-        self.fields = fields
-        self.ids: dict[str, int] = {}
-        self.texts = [np.fromiter((self.ids.setdefault(w, len(self.ids)) for w in ws), np.int64, len(ws)) for _, _, ws in fields]
-        counts = np.fromiter(map(len, self.texts), np.int64, len(fields))
-        flat = np.concatenate(self.texts)
-        field, word, nth = occurrences(np.repeat(np.arange(len(fields)), counts), flat)
-        self.most = np.zeros(len(self.ids), np.int64)  # occurrences of a word in one field
-        np.maximum.at(self.most, word, nth + 1)
-        self.first = np.cumsum(self.most) - self.most
-        token = self.first[word] + nth
-        often = np.bincount(token, minlength=int(self.most.sum()))
-        order = np.lexsort((token, often[token], field))
-        field, token = field[order], token[order]
-        need = np.ceil(SHARE * counts).astype(np.int64)
-        left = (need - 1) // 2
-        self.least = need - left
-        rank = np.arange(len(token)) - (np.cumsum(counts) - counts)[field]
-        kept = rank < (counts - left)[field]
-        field, token = field[kept], token[kept]
-        order = np.argsort(token, kind="stable")
-        self.postings = field[order]
-        self.at = np.searchsorted(token[order], np.arange(len(often) + 1))
-        with np.errstate(over="ignore"):
-            x, owner, _ = grams(flat.view(U64), counts, RUN)
-        self.runs: dict[int, list[int]] = defaultdict(list)
-        for h, f in set(zip(x.tolist(), owner.tolist(), strict=True)):
-            self.runs[h].append(f)
-        self.sorted_runs = np.unique(x)
-
-    def near(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (message, field) that may reach the share."""
-        inside = flat >= 0
-        message, word, nth = occurrences(np.repeat(np.arange(len(counts)), counts)[inside], flat[inside])
-        kept = nth < self.most[word]
-        message, token = message[kept], (self.first[word] + nth)[kept]
-        n, found = len(self.fields), []
-        rows = max(1, CELLS // n)
-        for begin in range(0, len(counts), rows):
-            part = slice(*np.searchsorted(message, (begin, begin + rows)))
-            start, size = self.at[token[part]], np.diff(self.at)[token[part]]
-            if not size.sum():
-                continue
-            where = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-            cell = np.repeat(message[part] - begin, size) * n + self.postings[where]
-            shared = np.bincount(cell, minlength=rows * n).reshape(rows, n)
-            m, f = np.nonzero(shared >= self.least)
-            found.append((m + begin, f))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([m for m, _ in found]), np.concatenate([f for _, f in found])
-
-    def alike(self, flat: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """Pairs (message, field) that have a run of ``RUN`` words in common."""
-        with np.errstate(over="ignore"):
-            x, owner, _ = grams(flat.view(U64), counts, RUN)
-        place = np.searchsorted(self.sorted_runs, x)
-        place[place == len(self.sorted_runs)] = 0
-        hit = self.sorted_runs[place] == x
-        return {(m, f) for h, m in set(zip(x[hit].tolist(), owner[hit].tolist(), strict=True)) for f in self.runs[h]}
-
-    def leaks(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text (item_id, field, score, share, exact) of every alignment that counts."""
-        lists = [words(t) for t in texts]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((self.ids.get(w, -1) for ws in lists for w in ws), np.int64, int(counts.sum()))
-        ends = np.cumsum(counts)
-        runs = self.alike(flat, counts)
-        pairs = sorted(runs | set(zip(*(x.tolist() for x in self.near(flat, counts)), strict=True)))
-        scores = local_scores([(flat[ends[m] - counts[m] : ends[m]], self.texts[f]) for m, f in pairs])
-        out: list[list[tuple]] = [[] for _ in texts]
-        for (m, f), score in zip(pairs, scores.tolist(), strict=True):
-            item, field, theirs = self.fields[f]
-            share = score / (EQUAL * len(theirs))
-            exact = (m, f) in runs and common_run(lists[m], theirs, RUN)
-            if exact or share >= SHARE:
-                out[m].append((item, field, score, share, exact))
-        return out
-
-
-def occurrences(owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, word, n) ordered by owner and word: n counts a word's earlier occurrences there."""
-    order = np.lexsort((word, owner))
-    owner, word = owner[order], word[order]
-    fresh = np.r_[True, (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])][: len(word)]
-    start = np.flatnonzero(fresh)
-    return owner, word, np.arange(len(word)) - np.repeat(start, np.diff(np.r_[start, len(word)]))
-
-
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Best local score of two word arrays, and where it ends in ``a``.  One row at a time; gaps
     along a row come from a running maximum."""
@@ -189,21 +80,72 @@ def local_scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return scores
 
 
-def _align(fields: list[tuple[str, str, list[str]]]):
-    """Messages -> alignments with the items."""
+FIELDS = "item_id string, field string, text string, seeds array<long>, runs array<long>"
+
+
+def shared_pairs(n: int) -> int:
+    """Neighbouring words of a field of ``n`` words that an alignment reaching SHARE keeps at least,
+    next to each other or with one word between them.
+
+    With d words of the field unmatched and g gaps of two or more words the score is at most
+    2 (n - d) - d - 2 g, which is at least n only if d <= n / 3 and g <= (n - 3 d) / 2; and at most
+    2 d + g <= 2 n / 3 of the n - 1 pairs are broken.  (For the scores and the share fixed here.)
+    """
+    return max(1, -(-n // 3) - 1)
+
+
+def _pairs(flat: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text index) of the words ``step`` places apart in one text."""
+    n = max(len(flat) - step, 0)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    inside = owner[:n] == owner[step:]
+    x = mix(mix(flat[:n] + U64(1)) * U64(MIX[0]) + flat[step:])
+    return x[inside].view(np.int64), owner[:n][inside]
+
+
+def _lists(x: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.bincount(owner, minlength=n))].astype(np.int32), pa.array(x))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fields with at least one run, with the hashes of their pairs of words and of their runs."""
+    for batch in batches:
+        batch = batch.filter(pa.array([len(words(t)) >= RUN for t in batch.column(2).to_pylist()], pa.bool_()))
+        flat, counts = hashed(batch.column(2).to_pylist())
+        with np.errstate(over="ignore"):
+            near, (x, owner, _) = _pairs(flat, counts, 1), grams(flat, counts, RUN)
+        lists = [_lists(*near, batch.num_rows), _lists(x.view(np.int64), owner, batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *lists], names=["item_id", "field", "text", "seeds", "runs"])
+
+
+HITS = "sample_id string, msg_index long, text string, seeds array<long>"
+
+
+def _meet(wanted: np.ndarray | None):
+    """Messages that hold a wanted seed, and their different wanted seeds; all seeds if none are named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(fields)
-        names = ["item_id", "field", "sample_id", "msg_index", "score", "share", "exact"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
-                sids, places, texts = (batch.column(i).slice(at, STEP).to_pylist() for i in range(3))
-                different = list(dict.fromkeys(texts))
-                found = dict(zip(different, known.leaks(different), strict=True))
-                out = [(item, field, sid, i, *rest) for sid, i, text in zip(sids, places, texts, strict=True) for item, field, *rest in found[text]]
-                columns = list(zip(*out, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                part = batch.slice(at, STEP)
+                flat, counts = hashed(part.column(2).to_pylist())
+                with np.errstate(over="ignore"):
+                    near, apart, (x, owner, _) = _pairs(flat, counts, 1), _pairs(flat, counts, 2), grams(flat, counts, RUN)
+                x, owner = np.r_[near[0], apart[0], x.view(np.int64)], np.r_[near[1], apart[1], owner]
+                if wanted is not None:
+                    place = np.searchsorted(wanted, x)
+                    place[place == len(wanted)] = 0
+                    hit = wanted[place] == x
+                    x, owner = x[hit], owner[hit]
+                order = np.lexsort((x, owner))
+                x, owner = x[order], owner[order]
+                if not len(x):
+                    continue
+                fresh = np.r_[True, (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])]
+                x, owner = x[fresh], owner[fresh]
+                rows, owner = np.unique(owner, return_inverse=True)
+                held = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*(held.column(i) for i in range(3)), _lists(x, owner, len(rows))], names=["sample_id", "msg_index", "text", "seeds"])
 
     return run
 
@@ -211,21 +153,66 @@ def _align(fields: list[tuple[str, str, list[str]]]):
 LEAKS = "item_id string, field string, sample_id string, msg_index long, score long, share double, exact boolean"
 
 
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, field, sample_id, msg_index, asked, text) -> the alignments that count."""
+    names = [f.split()[0] for f in LEAKS.split(", ")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            ids: dict[str, int] = {}
+            cut = {t: words(t) for i in (4, 5) for t in part.column(i).unique().to_pylist()}
+            coded = {t: np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws)) for t, ws in cut.items()}
+            asked, texts = part.column(4).to_pylist(), part.column(5).to_pylist()
+            scores = local_scores([(coded[t], coded[q]) for q, t in zip(asked, texts, strict=True)])
+            share = scores / np.fromiter((EQUAL * len(cut[q]) for q in asked), np.int64, len(asked))
+            exact = np.fromiter((s >= EQUAL * RUN and common_run(cut[t], cut[q], RUN) for q, t, s in zip(asked, texts, scores.tolist(), strict=True)), bool, len(asked))
+            keep = pa.array(exact | (share >= SHARE))
+            columns = [part.column(i) for i in range(4)] + [pa.array(scores), pa.array(share), pa.array(exact)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+
+
+def sought(fields: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_id, field, seed, weight, least): the seeds by which each field is sought, by the number
+    of messages that hold them, and the least sum of weights that makes a message a candidate.
+
+    A field's most frequent pairs, half as many as an alignment must keep, are left out, and the rest
+    of those kept is asked for; a run of RUN words suffices by itself.
+    """
+    near = fields.select("item_id", "field", F.size("seeds").alias("pairs"), F.posexplode("seeds").alias("at", "seed"))
+    least = F.greatest(F.lit(1), F.ceil((F.col("pairs") + 1) / 3) - 1)  # as ``shared_pairs`` has it
+    ranked = near.join(small(counts, 64), "seed", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "field").orderBy(F.desc_nulls_last("n"), "at")))
+    left = F.floor(least / 2)
+    kept = ranked.where((F.col("rank") > left) & F.col("n").isNotNull()).groupBy("item_id", "field", "seed", (least - left).alias("least")).agg(F.count("*").alias("weight"))
+    runs = fields.select("item_id", "field", F.explode(F.array_distinct("runs")).alias("seed")).select("item_id", "field", "seed", F.lit(1 << 30).alias("weight"), F.lit(1).alias("least"))
+    return kept.select("item_id", "field", "seed", "weight", "least").union(runs)
+
+
 def leaks(samples: DataFrame, items: DataFrame, split_rows: DataFrame) -> DataFrame:
     """(item_id, field, sample_id, msg_index, score, share, exact): alignments of items with
     messages, of any role, of samples in train.
 
-    ``exact`` marks RUN consecutive words in common; other rows reach ``SHARE`` of the best
-    possible score: edited copies.  Items with fewer than RUN words in a field, null ids and null
-    contents give none; redelivered rows count once; empty tables give no rows; other columns are
-    ignored.
+    ``exact`` marks RUN consecutive words in common.  Other rows reach ``SHARE`` of the best possible
+    score: edited copies.  All of both are found.  Items with fewer than RUN words in a field, null ids and null contents give
+    none; redelivered rows count once; empty tables give no rows; other columns are ignored.
     """
-    spark = samples.sparkSession
-    at = samples.where("sample_id IS NOT NULL").select("sample_id", F.posexplode("messages").alias("i", "m"))
+    asked = items.where("item_id IS NOT NULL").select("item_id", F.explode(F.create_map(F.lit("question"), F.col("question"), F.lit("answer"), F.col("answer"))).alias("field", "text"))
+    fields = stored(asked.where("text IS NOT NULL").distinct().mapInArrow(_cut, FIELDS), "fields")
+    wanted = fields.select(F.explode(F.concat("seeds", "runs")).alias("seed")).distinct()
+    most = BROADCAST_LIMIT // 8
+    some = wanted.limit(most + 1).toPandas()["seed"].to_numpy()  # a filter of bounded size, used only if it holds all seeds
+    if not len(some):
+        return samples.sparkSession.createDataFrame([], LEAKS)
+    train = small(stored(split_of(split_rows).where("split = 'train'").select("sample_id"), "train"), 120)
+    at = samples.where("sample_id IS NOT NULL").select("sample_id", "messages").join(train, "sample_id", "left_semi").select("sample_id", F.posexplode("messages").alias("i", "m"))
     messages = at.where("m.content IS NOT NULL").select("sample_id", F.col("i").cast("long").alias("msg_index"), F.col("m.content").alias("text"))
-    train = split_of(split_rows).where("split = 'train'").select("sample_id")
-    result = spark.createDataFrame([], LEAKS)
-    asked = _fields(items.select("item_id", "question", "answer").toLocalIterator())
-    for begin in range(0, len(asked), ITEMS):
-        result = result.union(messages.mapInArrow(_align(asked[begin : begin + ITEMS]), LEAKS))
-    return result.dropDuplicates(["item_id", "field", "sample_id", "msg_index"]).join(train, "sample_id", "left_semi")
+    hits = stored(messages.mapInArrow(_meet(np.sort(some) if len(some) <= most else None), HITS), "hits")
+    met = hits.select("sample_id", "msg_index", F.explode("seeds").alias("seed"))
+    counts = stored(met.groupBy("seed").agg(F.count("*").alias("n")).join(small(stored(wanted, "wanted"), 64), "seed", "left_semi"), "counts")
+    chosen = small(stored(sought(fields, counts), "sought"), 160)
+    shared = met.join(chosen, "seed").groupBy("item_id", "field", "sample_id", "msg_index").agg(F.sum("weight").alias("weight"), F.max("least").alias("least"))
+    pairs = stored(shared.where(F.col("weight") >= F.col("least")).drop("weight", "least"), "candidates")
+    both = pairs.join(small(fields.select("item_id", "field", F.col("text").alias("asked")), 2000), ["item_id", "field"]).join(
+        hits.select("sample_id", "msg_index", "text"), ["sample_id", "msg_index"]
+    )
+    scored = both.select("item_id", "field", "sample_id", "msg_index", "asked", "text").mapInArrow(_score, LEAKS)
+    return scored.dropDuplicates(["item_id", "field", "sample_id", "msg_index"])
