@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,51 @@ def paragraphs(documents: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+class Marks:
+    """Where the words of a text lie, where its sentences end and where its phrases stand, each found
+    once over the whole text; questions about them are answered by search."""
+
+    def __init__(self, text: str):
+        self.spans = [m.span() for m in re.finditer(r"\S+", text)]
+        self.words = [text[a:b] for a, b in self.spans]
+        at, line = 0, " ".join(self.words)
+        starts = []
+        for w in self.words:
+            starts.append(at)
+            at += len(w) + 1
+        # first and last word of every phrase, in order
+        self.phrases = {
+            kind: [(bisect_right(starts, m.start(1)) - 1, bisect_right(starts, m.end(1) - 1) - 1) for m in re.finditer(f"(?=({kind.pattern}))", line, re.I)]
+            for kind in (EXCEPTION, LINK)
+        }
+        self.ends = {signs: [i for i, w in enumerate(self.words) if w[-1] in signs] for signs in (".;", ".;)")}
+
+    def has(self, kind: re.Pattern, low: int, high: int) -> bool:
+        """Does a phrase of this kind lie within the words low..high - 1?"""
+        spans = self.phrases[kind]
+        n = bisect_left(spans, (max(low, 0), -1))
+        return n < len(spans) and spans[n][1] < high
+
+    def closing(self, signs: str, low: int, high: int) -> int | None:
+        """The place behind the first word from ``low`` on, before ``high``, that ends in a sign."""
+        n = bisect_left(self.ends[signs], low)
+        return self.ends[signs][n] + 1 if n < len(self.ends[signs]) and self.ends[signs][n] < high else None
+
+
+#: How a window's end moves (fixed values): phrase, words before and behind the end that are looked at, closing signs, words
+#: to the closing sign at most, words added where there is none.
+MOVES = ((EXCEPTION, 20, 0, ".;", 40, 20), (LINK, 10, 10, ".;)", 15, 0))
+
+
+def window_end(marks: Marks, end: int) -> int:
+    """The end of a window that would stop before word ``end``."""
+    total = len(marks.words)
+    for kind, before, behind, signs, reach, added in MOVES:
+        if end < total and marks.has(kind, end - before, min(end + behind, total)):
+            end = marks.closing(signs, end, end + reach) or min(end + added, total)
+    return end
+
+
 def policy_windows(text: str | None, size: int = 512, overlap: int = 64, tail: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, text) of word windows with true offsets.
 
@@ -51,24 +97,15 @@ def policy_windows(text: str | None, size: int = 512, overlap: int = 64, tail: b
     window's suffixes follow, as a plain restart rule gives them; without it the windows stop at
     the last word.
     """
-    spans = [m.span() for m in re.finditer(r"\S+", text or "")]
-    words = [text[a:b] for a, b in spans] if text else []
-    n, out, start = len(words), [], 0
-
-    def extended(end: int, look: int, marks: tuple[str, ...]) -> int | None:
-        return next((j + 1 for j in range(end, min(end + look, n)) if words[j].endswith(marks)), None)
-
-    while start < n:
-        end = min(start + size, n)
-        if end < n and EXCEPTION.search(" ".join(words[max(0, end - 20) : end])):
-            end = extended(end, 40, (".", ";")) or min(end + 20, n)
-        if end < n and LINK.search(" ".join(words[max(0, end - 10) : min(end + 10, n)])):
-            end = extended(end, 15, (".", ";", ")")) or end
-        out.append((spans[start][0], spans[end - 1][1], " ".join(words[start:end])))
-        if end == n and not tail:
+    marks = Marks(text or "")
+    total = len(marks.words)
+    bounds: list[tuple[int, int]] = []
+    while total and (not bounds or bounds[-1][1] < total or (tail and bounds[-1][0] + 1 < total)):
+        first = max(bounds[-1][0] + 1, bounds[-1][1] - overlap) if bounds else 0
+        if first >= total:
             break
-        start = max(start + 1, end - overlap)
-    return out
+        bounds.append((first, window_end(marks, min(first + size, total))))
+    return [(marks.spans[a][0], marks.spans[b - 1][1], " ".join(marks.words[a:b])) for a, b in bounds]
 
 
 def by_policy(documents: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64, tail: bool = False) -> DataFrame:
