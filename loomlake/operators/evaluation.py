@@ -92,19 +92,32 @@ def error_counts(results: DataFrame, by: str = "run_id") -> DataFrame:
     return results.where("error_type <> ''").groupBy(by, "error_type").agg(F.count("*").alias("n"))
 
 
+#: Replicates of an interval, and replicates that one row of the first step stands for.
+REPLICATES, TOGETHER = 10_000, 100
+
+
 def replicate_means(values: DataFrame, by: str, id_column: str, value: str, replicates: int, seed: int) -> DataFrame:
     """Means of ``replicates`` resamples with replacement: (by, replicate, mean).
 
-    Each draw is a hash of seed, replicate and position, so results repeat and any engine can
-    compute them.  A group's values travel as one array (tasks of a run: hundreds); replicates
-    are made where it lies, so nothing but the means is shuffled.
+    Draws are parts of a hash of seed, replicate and position, four of one hash, so results repeat
+    and any engine can compute them.  A group's values travel as one array (tasks of a run:
+    hundreds), once per ``TOGETHER`` replicates, which are spread over all tasks before any draw.
     """
-    ordered = values.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(value).alias("v")))).alias("a"))
-    grid = ordered.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    key = lambda i: F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), i.cast("string"))
-    at = lambda i: F.pmod(F.conv(F.substring(F.md5(key(i)), 1, 8), 16, 10).cast("bigint"), F.size("a")).cast("int")
-    total = F.aggregate(F.sequence(F.lit(0), F.size("a") - 1), F.lit(0.0), lambda s, i: s + F.get(F.col("a"), at(i))["v"])
-    return grid.select(by, "replicate", F.round(total / F.size("a"), 9).alias("mean"))
+    parts = values.sparkSession.sparkContext.defaultParallelism
+    ordered = values.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(value).cast("double").alias("v")))).alias("a"))
+    ordered = ordered.select(by, F.transform("a", lambda x: x["v"]).alias("a"), F.size("a").alias("n"))
+    blocks = ordered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // TOGETHER)))).repartition(parts, by, "block")
+    first = F.col("block") * TOGETHER
+    grid = blocks.withColumn("replicate", F.explode(F.sequence(first, F.least(first + TOGETHER, F.lit(replicates)) - 1)))
+    hashed = lambda j: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), j.cast("string")))
+    draw = lambda h, c: F.get("a", F.pmod(F.conv(F.substring(h, 8 * c + 1, 8), 16, 10).cast("bigint"), F.col("n")).cast("int"))
+
+    def four(j):
+        added = lambda h, c: F.when(4 * j + c < F.col("n"), draw(h, c)).otherwise(F.lit(0.0))
+        return F.transform(F.array(hashed(j)), lambda h: added(h, 0) + added(h, 1) + added(h, 2) + added(h, 3))[0]
+
+    total = F.aggregate(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4).cast("int")), F.lit(0.0), lambda s, j: s + four(j))
+    return grid.select(by, "replicate", F.round(total / F.col("n"), 9).alias("mean"))
 
 
 def interval(means: DataFrame, by: str, replicates: int, alpha: float = 0.05) -> DataFrame:
@@ -116,7 +129,7 @@ def interval(means: DataFrame, by: str, replicates: int, alpha: float = 0.05) ->
     return ranked.groupBy(by).agg(F.max(F.when(F.col("r") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("mean"))).alias("high"))
 
 
-def bootstrap_interval(results: DataFrame, by: str = "run_id", replicates: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_interval(results: DataFrame, by: str = "run_id", replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """Interval of the mean per-task success rate, resampling tasks."""
     rates = task_rate(results, by)
     point = rates.groupBy(by).agg(F.round(F.avg("rate"), 6).alias("point"))
@@ -136,7 +149,7 @@ def paired_rates(results: DataFrame, by: str = "run_id") -> DataFrame:
     return joined.select("run_a", "run_b", "task_id", "rate_a", "rate_b", (F.col("rate_a") - F.col("rate_b")).alias("delta"))
 
 
-def paired_interval(results: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+def paired_interval(results: DataFrame, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     pairs = paired_rates(results).withColumn("pair", F.concat_ws("~", "run_a", "run_b"))
     point = pairs.groupBy("pair").agg(F.round(F.avg("delta"), 6).alias("point"))
     return point.join(interval(replicate_means(pairs, "pair", "task_id", "delta", replicates, seed), "pair", replicates), "pair")

@@ -21,10 +21,10 @@ pairs AS (SELECT a.run_id AS run_a, b.run_id AS run_b, x.task_id, x.rate AS rate
 
 def _boot(source: str, by: str, value: str) -> str:
     return f"""g AS (SELECT {by} AS k, list(struct_pack(id := task_id, v := {value}) ORDER BY task_id) AS a FROM {source} GROUP BY 1),
-draws AS (SELECT k, b, round(list_sum([a[1 + CAST((('0x' || substr(md5('42|' || b || '|' || i), 1, 8))::BIGINT % len(a)) AS INT)].v FOR i IN range(0, len(a))]) / len(a), 9) AS mean
-  FROM g, range(0, 1000) AS t(b)),
+draws AS (SELECT k, b, round(list_sum([a[1 + CAST((('0x' || substr(md5('42|' || b || '|' || (i // 4)), 8 * (i % 4) + 1, 8))::BIGINT % len(a)) AS INT)].v FOR i IN range(0, len(a))]) / len(a), 9) AS mean
+  FROM g, range(0, 10000) AS t(b)),
 ranked AS (SELECT k, mean, row_number() OVER (PARTITION BY k ORDER BY mean, b) - 1 AS n FROM draws),
-ci AS (SELECT k, max(mean) FILTER (n = 25) AS low, max(mean) FILTER (n = 974) AS high FROM ranked GROUP BY 1)"""
+ci AS (SELECT k, max(mean) FILTER (n = 250) AS low, max(mean) FILTER (n = 9749) AS high FROM ranked GROUP BY 1)"""
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
