@@ -22,8 +22,8 @@ def events(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there and give the result as a table.
 
-    Append mode writes files with exactly-once commits; complete and update modes write each
-    batch and keep its number, and the last one per run is read back.
+    Append mode writes each row once, when the watermark has passed it, and its state is dropped;
+    update mode writes the rows that a batch changed, with the batch's number.
     """
     spark = stream.sparkSession
     out, log = folder(spark, name), folder(spark, f"{name}-log")
@@ -34,11 +34,7 @@ def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     query = writer.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).start()
     query.awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("batch", "long")
-    done = spark.read.schema(schema).parquet(out)
-    if mode == "complete":
-        last = done.agg(F.max("batch")).first()[0]
-        done = done.where(F.col("batch") == last).drop("batch")
-    return done
+    return spark.read.schema(schema).parquet(out)
 
 
 def rollup(stream: DataFrame, width: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -66,14 +62,39 @@ def once(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def budget(stream: DataFrame, turns: int = 20) -> DataFrame:
-    """(user_id, turns, stopped): running turns per session; a session stops at the limit and
-    ignores what comes after, over all batches."""
+#: What a session's budget keeps between batches.
+STATE = "turns long, calls long, begin double, reason string"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (seen,) = state.get if state.exists else (0,)
-        seen = min(seen + sum(len(b) for b in batches), turns)
-        state.update((seen,))
-        yield pd.DataFrame({"user_id": [key[0]], "turns": [seen], "stopped": [seen >= turns]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, turns long, stopped boolean", "seen long", "update", GroupStateTimeout.NoTimeout)
+def budget(stream: DataFrame, turns: int = 20, calls: int = 15, seconds: float = 300.0, call: str = "event_type = 'tool'", late: str = "1 hour", idle: float = 3600.0) -> DataFrame:
+    """(user_id, turns, calls, reason): a session's turns and tool calls up to its stop, and the limit
+    that stopped it: turns are tested before calls, calls before the time since its first event.
+
+    A stopped session ignores what comes after, over all batches.  Events count in time order
+    inside a batch: of each session only the earliest ``turns`` events of a batch can matter and are
+    held.  State goes when the watermark passes the session's last event by ``idle`` seconds.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, called, begin, reason = state.get if state.exists else (0, 0, None, None)
+        first, last = None, 0.0
+        for rows in batches:
+            last = max(last, rows["at"].max())
+            if reason is None:
+                first = (rows if first is None else pd.concat([first, rows])).nsmallest(turns, ["at", "event_id"])
+        for at, called_now in zip(first["at"], first["called"], strict=True) if first is not None else ():
+            begin = at if begin is None else begin
+            seen, called = seen + 1, called + int(called_now)
+            reason = "turns" if seen >= turns else "tool_calls" if called >= calls else "wall_time" if at - begin > seconds else None
+            if reason:
+                break
+        state.update((seen, called, begin, reason))
+        state.setTimeoutTimestamp(max(int((last + idle) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "turns": [seen], "calls": [called], "reason": [reason]})
+
+    marked = stream.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").cast("double").alias("micros"), F.expr(call).alias("called"))
+    marked = marked.select("user_id", "event_id", "ts", (F.col("micros") / 1e6).alias("at"), "called")
+    return marked.groupBy("user_id").applyInPandasWithState(step, "user_id long, turns long, calls long, reason string", STATE, "update", GroupStateTimeout.EventTimeTimeout)
