@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomlake.operators import bundles as bd
 from loomlake.operators import integrity as it
 from loomlake.plans.registry import query
 from loomlake.plans.samples import ONE, SPLIT, rows, split_one
@@ -102,11 +104,17 @@ def sink_mark_uploaded(spark, d):
     return it.upload_state(spark.read.parquet(path)).withColumnRenamed("fingerprint", "task_id")
 
 
-@query("SELECT sample_id FROM (SELECT DISTINCT sample_id FROM samples) WHERE sample_id NOT IN (SELECT sample_id FROM provenance WHERE sample_id IS NOT NULL)")
+RUN = f"""{ONE}, p AS (SELECT sample_id, bool_or(validation_outcome = 'accepted') AS good, bool_or(validation_outcome = 'rejected') AS bad FROM provenance WHERE sample_id IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""{RUN} SELECT s.sample_id, round((SELECT count(*) FROM p WHERE good) * 0.01e0, 6) AS cost FROM s LEFT JOIN p USING (sample_id) WHERE NOT coalesce(good OR bad, false)""")
 def sink_checkpoint(spark, d):
-    path = sinks.folder(spark, "done")
-    table(spark, d, "provenance").where("sample_id IS NOT NULL").select("sample_id").distinct().write.parquet(path)
-    return sinks.resume(spark.read.parquet(path), table(spark, d, "samples").select("sample_id").distinct(), "sample_id")
+    """A run is stopped with accepted and rejected rows behind it, and goes on with the rest and its cost."""
+    p = table(spark, d, "provenance").where("sample_id IS NOT NULL")
+    good, bad = (p.where(F.col("validation_outcome") == x).select("sample_id").distinct() for x in ("accepted", "rejected"))
+    path = sinks.checkpoint(sinks.folder(spark, "state"), good, bad, p.select("sample_id", "generator_id", "validator_id"), round(good.count() * 0.01, 6))
+    left, cost = sinks.resumed(spark, path, rows(spark, d).select("sample_id"), "sample_id")
+    return left.withColumn("cost", F.lit(cost))
 
 
 @query("SELECT run_id, count(*) AS n, round(count(*) FILTER (success) / count(*), 6) AS rate FROM task_results GROUP BY 1")
@@ -123,24 +131,61 @@ def sink_vector_batch(spark, d):
 
 
 def _bundle(spark, d) -> str:
-    return sinks.bundle(_split(spark, d), table(spark, d, "documents").select("kb_id", "text"), sinks.folder(spark, "bundle"))
+    documents = table(spark, d, "documents").select("kb_id", "text")
+    return sinks.bundle(_split(spark, d), documents, sinks.folder(spark, "bundle"), table(spark, d, "provenance"), "samples", "v1", "none")
 
 
-@query(f"{ONE}, {SPLIT}, c AS (SELECT split, count(*) AS n FROM s JOIN sp USING (sample_id) GROUP BY 1) SELECT 'canonical' AS part, split, n FROM c UNION ALL SELECT 'lora', split, n FROM c UNION ALL SELECT 'osft', split, n FROM c")
+@query(f"""{ONE}, {SPLIT}, c AS (SELECT split, count(*) AS n FROM s JOIN sp USING (sample_id) GROUP BY 1), q AS (SELECT count(DISTINCT (split, coalesce(sample_type, 'unknown'))) AS n FROM s JOIN sp USING (sample_id))
+ SELECT 'canonical' AS part, split, n FROM c UNION ALL SELECT 'lora', split, n FROM c UNION ALL SELECT 'osft', split, n FROM c UNION ALL SELECT 'kb', NULL, count(*) FROM documents UNION ALL SELECT 'provenance', NULL, count(*) FROM provenance
+ UNION ALL SELECT 'quality', NULL, n FROM q UNION ALL SELECT 'card', NULL, 4 + n FROM q UNION ALL SELECT 'manifest ' || split, NULL, n FROM c WHERE split IN ('train', 'validation') UNION ALL SELECT 'splits ' || split, NULL, n FROM c""")
 def sink_bundle(spark, d):
+    """Rows of every part of a written bundle, read back."""
     path = _bundle(spark, d)
-    parts = [("canonical", f"{path}/canonical"), *((b, f"{path}/training/{b}") for b in ("lora", "osft"))]
-    out = None
+    parts = [("canonical", f"{path}/canonical"), *((b, f"{path}/training/{b}") for b in sinks.BACKENDS)]
+    out = spark.createDataFrame([], "part string, split string, n long")
     for name, p in parts:
-        n = spark.read.schema("split string").json(p).groupBy("split").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "split", "n")
-        out = n if out is None else out.union(n)
+        out = out.union(spark.read.schema("split string").json(p).groupBy("split").agg(F.count("*").alias("n")).select(F.lit(name), "split", "n"))
+    for name, p in (("kb", "kb"), ("provenance", "metadata/provenance"), ("quality", "reports/quality"), ("card", "card")):
+        out = out.union(spark.read.text(f"{path}/{p}").agg(F.lit(name), F.lit(None).cast("string"), F.count("*")))
+    for name, p, key in (("manifest ", "manifest", r"^canonical_(\w+)_count$"), ("splits ", "metadata/splits", r"^(\w+)_count$")):
+        fields = spark.read.text(f"{path}/{p}").select(F.explode(F.from_json("value", "map<string, string>")).alias("k", "v")).where(F.col("k").rlike(key))
+        out = out.union(fields.select(F.concat(F.lit(name), F.regexp_extract("k", key, 1)), F.lit(None).cast("string"), F.col("v").cast("long")))
     return out
 
 
-@query("SELECT 'ok' AS state, true AS every_file")
+SIZES = f"""{ONE}, {SPLIT}, c AS (SELECT split, count(*) AS n FROM s JOIN sp USING (sample_id) GROUP BY 1), raw AS (SELECT split, count(*) AS n FROM samples JOIN sp USING (sample_id) GROUP BY 1),
+ n AS (SELECT split AS name, c.n AS expected, raw.n AS actual FROM c JOIN raw USING (split) WHERE split IN ('train', 'validation')),
+ r AS (SELECT 'size' AS "check", name, CASE WHEN expected = actual THEN 'ok' ELSE 'error' END AS severity, expected, actual FROM n"""
+_entries = lambda x, strict: " UNION ALL ".join(
+    f"SELECT 'entry', '{e}', '{'ok' if e not in ('reports/quality_table', 'reports/backend_validation', 'examples', 'configs/lora', 'configs/osft') else x}', NULL, NULL"
+    for e in ([*bd.REQUIRED[strict], *bd.OPTIONAL[strict]])
+)
+
+
+def _spoilt(spark, d) -> str:
+    """A bundle to whose canonical rows all rows are added that redelivery repeats, and whose split sizes count them."""
+    path = _bundle(spark, d)
+    raw = table(spark, d, "samples").join(split_one(spark, d), "sample_id")
+    window = Window.partitionBy("sample_id").orderBy(F.desc("ingested_at"))
+    raw.withColumn("nth", F.row_number().over(window)).where("nth > 1").drop("nth").write.mode("append").partitionBy("split").json(f"{path}/canonical")
+    sizes = {f"{r.split}_count": r.n for r in raw.groupBy("split").agg(F.count("*").alias("n")).toLocalIterator()}
+    sinks.one_object(spark, f"{path}/metadata/splits", sizes)
+    return path
+
+
+@query(f"""{SIZES} UNION ALL SELECT 'split metadata', name, CASE WHEN expected = actual THEN 'ok' ELSE 'error' END, expected, actual FROM n UNION ALL SELECT 'checksum', 'missing', 'error', 0, 1 UNION ALL {_entries('warning', False)}) SELECT * FROM r""")
 def bundle_validate(spark, d):
-    """Every file of a bundle against the checksums written last."""
-    return sinks.verify(spark, _bundle(spark, d)).groupBy("state").agg((F.count("*") > 0).alias("every_file"))
+    return bd.validate(spark, _spoilt(spark, d))
+
+
+@query(f"""{SIZES} UNION ALL SELECT 'fields', split, CASE WHEN bad = 0 THEN 'ok' ELSE 'error' END, 0, bad FROM (SELECT split, count(*) FILTER (messages IS NULL) AS bad FROM samples JOIN sp USING (sample_id) WHERE split IN ('train', 'validation') GROUP BY 1)
+ UNION ALL SELECT 'fields', 'kb', CASE WHEN bad = 0 THEN 'ok' ELSE 'warning' END, 0, bad FROM (SELECT count(*) FILTER (text IS NULL) AS bad FROM documents) UNION ALL SELECT 'parity', name, 'ok', expected, expected FROM n
+ UNION ALL SELECT 'canonical and ' || b, name, CASE WHEN expected = actual THEN 'ok' ELSE 'warning' END, actual, expected FROM n, (VALUES ('lora'), ('osft')) AS t(b) UNION ALL SELECT 'checksum', 'missing', 'error', 0, 1 UNION ALL {_entries('warning', True)}
+ UNION ALL SELECT 'manifest', k, 'ok', NULL, NULL FROM (VALUES ('bundle_name'), ('bundle_version'), ('model_id'), ('canonical_train_count'), ('canonical_validation_count')) AS t(k))
+ SELECT (SELECT count(*) = 0 FROM r WHERE severity <> 'ok') AS valid, (SELECT count(*) FROM r WHERE severity = 'error') AS errors, (SELECT count(*) FROM r WHERE severity = 'warning') AS warnings""")
+def bundle_validate_strict(spark, d):
+    """The verdict of the strict checks, under which warnings fail too."""
+    return bd.verdict(bd.validate(spark, _spoilt(spark, d), strict=True), strict=True)
 
 
 @query("SELECT 'ok' AS state, true AS some UNION ALL SELECT 'missing', true UNION ALL SELECT 'mismatch', true")
@@ -216,13 +261,6 @@ def backend_loader_check(spark, d):
     return _split(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("messages"), F.lit(0)) <= 0).alias("without_messages"))
 
 
-@query(f"{ONE}, {SPLIT}, c AS (SELECT count(*) FILTER (split = 'train') AS t, count(*) FILTER (split = 'validation') AS v FROM s JOIN sp USING (sample_id)), k AS (SELECT count(*) FILTER (text IS NULL) AS no_text FROM documents) SELECT t > 0 AS train, v > 0 AS validation, no_text = 0 AS kb_text, t > 0 AND v > 0 AND no_text = 0 AS valid FROM c, k")
-def bundle_validate_strict(spark, d):
-    c = _split(spark, d).agg((F.count_if(F.col("split") == "train") > 0).alias("train"), (F.count_if(F.col("split") == "validation") > 0).alias("validation"))
-    k = table(spark, d, "documents").agg((F.count_if(F.col("text").isNull()) == 0).alias("kb_text"))
-    return c.crossJoin(k).withColumn("valid", F.col("train") & F.col("validation") & F.col("kb_text"))  # two single rows
-
-
 @query("SELECT 'path' AS key, '/data/kb' AS value UNION ALL SELECT 'missing', ''")
 def scan_yaml_config(spark, d):
     """Settings with their variables expanded; read on the driver."""
