@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.workspace import stored
+
 
 def corpus_hash(documents: DataFrame, text: str = "text", buckets: int = 256) -> DataFrame:
     """One row: sha256 over the sorted hashes of all texts, 16 hex digits.
@@ -44,10 +46,19 @@ def upload_state(log: DataFrame) -> DataFrame:
     return log.groupBy("fingerprint").agg(F.max("upload_id").alias("upload_id")).select("fingerprint", F.col("upload_id").isNotNull().alias("uploaded"))
 
 
-def budget_spend(batches: DataFrame, order: str, cost: str, limit: float) -> DataFrame:
-    """Batches run while the cost before them is under the limit: it stops after the batch that reaches it."""
-    before = F.coalesce(F.sum(cost).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return batches.withColumn("spent_before", before).where(F.col("spent_before") < limit)
+def budget_spend(batches: DataFrame, order: str, cost: str, limit: float, slices: int = 4096) -> DataFrame:
+    """Batches run while the cost before them is under the limit: it stops after the batch that reaches it.
+
+    The running sum works in two levels: rows are ranged by the order into slices, whose totals (a row
+    each) give every slice its offset, and only rows of one slice are sorted together.
+    """
+    ranged = stored(batches.repartitionByRange(slices, order).withColumn("slice", F.spark_partition_id()), "spend")
+    totals = ranged.groupBy("slice").agg(F.sum(cost).alias("total"))
+    upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("slice", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("offset"))  # at most ``slices`` rows
+    inside = F.coalesce(F.sum(cost).over(Window.partitionBy("slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(F.broadcast(offsets), "slice").withColumn("spent_before", F.col("offset") + inside)
+    return placed.where(F.col("spent_before") < limit).drop("slice", "offset")
 
 
 def duplicate_actions(events: DataFrame, session: str, name: str, arguments: str, order: list[str]) -> DataFrame:
@@ -84,3 +95,23 @@ def backend_parity(counts: DataFrame) -> DataFrame:
     bad = (lora >= 0) & (osft >= 0) & (lora != osft)
     near = (lora >= 0) & (whole >= 0) & (lora != whole)
     return counts.select("split", F.when(bad, "error").when(near, "warning").otherwise("ok").alias("severity"))
+
+
+def weights_hash(digests: DataFrame) -> DataFrame:
+    """(weights_hash): the hash over the sorted hex digests of one model's files, first 16 signs."""
+    joined = F.array_join(F.array_sort(F.collect_list("sha256")), "")  # one digest a file of one model
+    return digests.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("weights_hash"))
+
+
+def exported_models(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, config, tokenizer, shards, found, weights, complete) of exported models below a folder:
+    parts that exist, shards that the index names and those of them that are there."""
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    at = parts.select(F.regexp_extract("path", "run_id=([^/]+)", 1).alias("run_id"), F.regexp_extract("path", "part=([^/]+)", 1).alias("part")).where("part <> ''").distinct()
+    lines = spark.read.schema("run_id string, part string, value string").option("basePath", path).text(path).where("part = 'index'")
+    named = lines.select("run_id", F.explode(F.from_json("value", "array<string>")).alias("shard"))
+    have = at.where("startswith(part, 'shard-')").select("run_id", F.substring("part", 7, 100).alias("shard"), F.lit(1).alias("here"))
+    shards = named.join(have, ["run_id", "shard"], "left").groupBy("run_id").agg(F.count("*").alias("shards"), F.count("here").alias("found"))
+    single = at.groupBy("run_id").agg(*(F.max(F.col("part") == p).alias(p) for p in ("config", "tokenizer")))
+    weights = F.coalesce(F.col("found") == F.col("shards"), F.lit(False))
+    return single.join(shards, "run_id", "left").select("run_id", "config", "tokenizer", "shards", "found", weights.alias("weights"), (F.col("config") & F.col("tokenizer") & weights).alias("complete"))

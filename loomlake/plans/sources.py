@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomlake.functions import text as tx
 from loomlake.operators import bundles as bd
 from loomlake.operators import integrity as it
 from loomlake.plans.registry import query
@@ -188,35 +189,53 @@ def bundle_validate_strict(spark, d):
     return bd.verdict(bd.validate(spark, _spoilt(spark, d), strict=True), strict=True)
 
 
-@query("SELECT 'ok' AS state, true AS some UNION ALL SELECT 'missing', true UNION ALL SELECT 'mismatch', true")
-def checksum_join(spark, d):
-    """One expected hash is altered and one file is made up: every state occurs."""
+def _files(spark, d, keep="true") -> str:
+    """A folder with a file per evaluation item, its question the only line."""
     path = sinks.folder(spark, "files")
-    table(spark, d, "documents").select("text").where("text IS NOT NULL").repartition(4).write.text(path)
-    actual = files.file_digests(spark, path).where("name LIKE 'part-%'").select(F.col("name").alias("path"), "sha256")
-    first = actual.agg(F.min("path").alias("p")).first().p
-    expected = actual.withColumn("sha256", F.when(F.col("path") == first, F.reverse("sha256")).otherwise(F.col("sha256")))
-    expected = expected.union(spark.createDataFrame([("no-such-file", "0")], "path string, sha256 string"))
-    return it.checksum_report(expected, actual).groupBy("state").agg((F.count("*") > 0).alias("some"))
+    items = table(spark, d, "eval_items").where("question IS NOT NULL").where(keep).select("item_id", F.col("question").alias("value"))
+    items.repartition("item_id").write.partitionBy("item_id").text(path)
+    return path
 
 
-@query("SELECT sha256(item_id) AS sha256, item_id AS path, true AS ok FROM eval_items")
-def scan_checksum_file(spark, d):
-    path = sinks.folder(spark, "sums")
-    i = table(spark, d, "eval_items").select(F.concat_ws("  ", F.sha2("item_id", 256), "item_id").alias("value"))
-    i.union(spark.createDataFrame([("# comment",), ("",)], "value string")).write.text(path)
-    return files.checksum_lines(spark, path)
+def _digests(spark, path):
+    f = files.file_digests(spark, path).where("name LIKE 'part-%'")
+    return f.select(F.regexp_extract("tail", "item_id=([^/]+)", 1).alias("path"), "bytes", "sha256")
+
+
+HASH = "sha256(question || chr(10))"
+
+
+@query(f"""SELECT item_id AS path, CASE WHEN item_id LIKE '%7' THEN 'missing' WHEN answer IS NULL THEN 'mismatch' ELSE 'ok' END AS state FROM eval_items WHERE question IS NOT NULL""")
+def checksum_join(spark, d):
+    """Files of items ending in 7 are missing, and those of items without an answer have another hash than expected."""
+    actual = _digests(spark, _files(spark, d, "item_id NOT LIKE '%7'")).select("path", "sha256")
+    hashed = F.sha2(F.concat("question", F.lit("\n")), 256)
+    expected = table(spark, d, "eval_items").where("question IS NOT NULL").select(F.col("item_id").alias("path"), F.when(F.col("answer").isNull(), F.reverse(hashed)).otherwise(hashed).alias("sha256"))
+    return it.checksum_report(expected, actual)
 
 
-@query()
+@query(f"SELECT item_id AS name, strlen(question) + 1 AS bytes, {HASH} AS sha256 FROM eval_items WHERE question IS NOT NULL")
 def file_checksum(spark, d):
-    return files.file_digests(spark, f"{d}/region.parquet").select("name", "bytes", "sha256")
+    return _digests(spark, _files(spark, d)).withColumnRenamed("path", "name")
 
 
-@query()
+@query(f"""SELECT '{{' || string_agg('"' || item_id || '":"' || {HASH} || '"', ',' ORDER BY item_id) || '}}' AS manifest FROM eval_items WHERE question IS NOT NULL""")
 def upload_checksum_manifest(spark, d):
-    f = files.file_digests(spark, f"{d}/nation.parquet")
-    return f.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "sha256"))))).alias("manifest"))
+    f = _digests(spark, _files(spark, d))
+    return f.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256"))))).alias("manifest"))  # the files of one upload
+
+
+@query(f"SELECT substr(sha256(string_agg({HASH}, '' ORDER BY {HASH})), 1, 16) AS weights_hash FROM eval_items WHERE question IS NOT NULL")
+def weights_hash(spark, d):
+    return it.weights_hash(_digests(spark, _files(spark, d)))
+
+
+@query("SELECT sha256(item_id) AS sha256, item_id AS path, true AS ok FROM eval_items")
+def scan_checksum_file(spark, d):
+    path = sinks.folder(spark, "sums")
+    i = table(spark, d, "eval_items").select(F.concat_ws("  ", F.sha2("item_id", 256), "item_id").alias("value"))
+    i.union(spark.createDataFrame([("# comment",), ("",)], "value string")).write.text(path)
+    return files.checksum_lines(spark, path)
 
 
 @query("SELECT count(DISTINCT run_id) AS runs, count(*) AS trials FROM task_results")
@@ -241,19 +260,29 @@ def scan_manifest(spark, d):
     return spark.read.schema("name string, samples long").option("multiLine", True).json(path)
 
 
-@query("SELECT count(*) AS n FROM region")
+@query("SELECT 'shared' AS source, count(*) AS n FROM documents")
 def fetch_first_available(spark, d):
-    return spark.read.parquet(files.first_available(spark, [f"{d}/absent.parquet", f"{d}/region.parquet"])).agg(F.count("*").alias("n"))
+    """Sources are tried in order; the local one is absent, and the one behind the shared copy is not asked."""
+    copy = sinks.folder(spark, "copy")
+    table(spark, d, "documents").write.parquet(copy)
+    source, path = files.fetch(spark, {"local": f"{d}/absent.parquet", "shared": copy, "remote": f"{d}/documents.parquet"})
+    return spark.read.parquet(path).agg(F.lit(source).alias("source"), F.count("*").alias("n"))
 
 
-@query("SELECT 'config' AS name, true AS present UNION ALL SELECT 'tokenizer', true UNION ALL SELECT 'weights', false")
+PARTS = "t AS (SELECT DISTINCT run_id, right(task_id, 1) AS shard, bool_or(success) OVER (PARTITION BY run_id, right(task_id, 1)) AS there FROM task_results WHERE run_id IS NOT NULL AND task_id IS NOT NULL)"
+
+
+@query(f"""WITH {PARTS}, g AS (SELECT run_id, count(*) AS shards, count(*) FILTER (there) AS found FROM t GROUP BY 1) SELECT run_id, true AS config, false AS tokenizer, shards, found, found = shards AS weights, false AS complete FROM g""")
 def exported_model_check(spark, d):
-    """Required parts of an exported folder; the folder made here lacks its weights."""
-    path = sinks.folder(spark, "model")
-    spark.createDataFrame([("config", "{}"), ("tokenizer", "{}")], "name string, value string").write.partitionBy("name").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", "name=([^/]+)", 1).alias("name")).distinct()
-    want = spark.createDataFrame([("config",), ("tokenizer",), ("weights",)], "name string")
-    return want.join(found.withColumn("present", F.lit(True)), "name", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    """A model is exported per run: settings, an index of its shards, and those shards (last signs of task
+    ids) that had a success; none has a tokenizer."""
+    path = sinks.folder(spark, "models")
+    t = table(spark, d, "task_results").where("run_id IS NOT NULL AND task_id IS NOT NULL").select("run_id", F.expr("right(task_id, 1)").alias("shard"), "success")
+    index = t.groupBy("run_id").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
+    index.select("run_id", F.lit("config").alias("part"), F.lit("{}").alias("value")).union(index.select("run_id", F.lit("index"), F.to_json("shards"))).write.partitionBy("run_id", "part").text(path)
+    there = t.where("success").select("run_id", F.concat(F.lit("shard-"), "shard").alias("part"), F.lit("w").alias("value")).distinct()
+    there.write.mode("append").partitionBy("run_id", "part").text(path)
+    return it.exported_models(spark, path)
 
 
 @query(f"{ONE}, {SPLIT} SELECT split, count(*) AS n, count(*) FILTER (coalesce(len(messages), 0) = 0) AS without_messages FROM s JOIN sp USING (sample_id) GROUP BY 1")
@@ -261,17 +290,19 @@ def backend_loader_check(spark, d):
     return _split(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("messages"), F.lit(0)) <= 0).alias("without_messages"))
 
 
-@query("SELECT 'path' AS key, '/data/kb' AS value UNION ALL SELECT 'missing', ''")
+@query("SELECT plan_id || '.' || sample_type || '.rows' AS key, CAST(min_rows AS VARCHAR) AS value FROM sample_plan UNION ALL SELECT plan_id || '.' || sample_type || '.folder', '/data/' || plan_id FROM sample_plan UNION ALL SELECT plan_id || '.' || sample_type || '.absent', '' FROM sample_plan")
 def scan_yaml_config(spark, d):
-    """Settings with their variables expanded; read on the driver."""
-    made = files.expand_variables({"path": "${ROOT}/kb", "missing": "${NOWHERE}"}, {"ROOT": "/data"})
+    """A settings file with a section per plan, its variables expanded; read on the driver."""
+    path = sinks.folder(spark, "settings")
+    row = F.concat(F.lit("  "), "sample_type", F.lit(":\n    rows: "), "min_rows", F.lit("  # floor\n    folder: \"${ROOT}/"), "plan_id", F.lit("\"\n    absent: ${NOWHERE}"))
+    plan = table(spark, d, "sample_plan").select("plan_id", row.alias("row"))
+    one = plan.groupBy("plan_id").agg(F.array_join(F.sort_array(F.collect_list("row")), "\n").alias("rows"))  # a plan has a row per type
+    text = one.select(F.concat("plan_id", F.lit(":\n"), "rows").alias("value")).coalesce(1)
+    text.write.option("lineSep", "\n").text(path)
+    made = files.flat(files.settings_of(spark, path, {"ROOT": "/data"}))
     return spark.createDataFrame(sorted(made.items()), "key string, value string")
 
 
-@query("""SELECT substr(sha256('{"k": 3, "track": "episodes"}'), 1, 16) AS config_hash""")
+@query("""SELECT plan_id, sample_type, substr(sha256('{"draw_percent": ' || draw_percent || ', "min_rows": ' || min_rows || ', "plan_id": "' || plan_id || '", "target_bp": ' || target_bp || '}'), 1, 16) AS config_hash FROM sample_plan""")
 def config_hash(spark, d):
-    import hashlib
-    import json
-
-    text = json.dumps({"track": "episodes", "k": 3}, sort_keys=True)
-    return spark.createDataFrame([(hashlib.sha256(text.encode()).hexdigest()[:16],)], "config_hash string")
+    return table(spark, d, "sample_plan").select("plan_id", "sample_type", tx.config_hash("target_bp", "plan_id", "min_rows", "draw_percent").alias("config_hash"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -88,18 +89,101 @@ def expand_variables(value, variables: dict[str, str]):
     return value
 
 
-def settings(path: str, variables: dict[str, str] | None = None) -> dict:
-    """A JSON or YAML file with its variables expanded; YAML needs the yaml package."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
-    if path.endswith(".json"):
-        import json
-
-        raw = json.loads(text)
-    else:
+def fetch(spark: SparkSession, sources: dict[str, str]) -> tuple[str, str]:
+    """(name, path) of the first source, in order, that exists; later ones are not asked and nothing is made."""
+    for name, path in sources.items():
+        if exists(spark, path):
+            return name, path
+    raise FileNotFoundError(", ".join(sources.values()))
+
+
+def _scalar(text: str):
+    """A YAML scalar: quoted and plain text, numbers, booleans, null, flow lists and an empty mapping."""
+    if text[:1] in "\"'" and text[-1:] == text[:1] and len(text) > 1:
+        return text[1:-1]
+    if text in ("", "~", "null"):
+        return None
+    if text in ("true", "false"):
+        return text == "true"
+    if text == "{}":
+        return {}
+    if text[0] == "[" and text[-1] == "]":
+        inner = text[1:-1].strip()
+        return [_scalar(x.strip()) for x in inner.split(",")] if inner else []
+    for kind in (int, float):
         try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("reading YAML needs the yaml package") from e
-        raw = yaml.safe_load(text) or {}
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def _without_comment(line: str) -> str:
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] in " \t"):
+            return line[:i]
+    return line
+
+
+def parse_yaml(text: str):
+    """The part of YAML that settings files use: nested mappings and lists by indentation, scalars,
+    flow lists, comments.  Anchors, tags and block texts are refused."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in (_without_comment(raw).rstrip() for raw in text.split("\n")) if x.strip() and x.strip() != "---"]
+
+    def block(at: int, indent: int):
+        listed = lines[at][1].startswith("- ") or lines[at][1] == "-"
+        out: list | dict = [] if listed else {}
+        while at < len(lines) and lines[at][0] == indent:
+            line = lines[at][1]
+            if listed:
+                rest = line[1:].strip()
+                if rest and re.match(r"[^\s\"'\[]+:(?:\s|$)", rest):  # a mapping begins in the item's line
+                    lines[at] = (indent + len(line) - len(rest), rest)
+                    value, at = block(at, lines[at][0])
+                elif rest:
+                    value, at = _scalar(rest), at + 1
+                else:
+                    value, at = block(at + 1, lines[at + 1][0])
+                out.append(value)
+                continue
+            m = re.match(r"(\"[^\"]*\"|'[^']*'|[^:]+):(?:\s+(.*))?$", line)
+            if not m or (m.group(2) or "")[:1] in ("&", "*", "!", "|", ">"):
+                raise ValueError(f"not supported in settings: {line}")
+            key, rest = str(_scalar(m.group(1).strip())), (m.group(2) or "").strip()
+            at += 1
+            if rest:
+                out[key] = _scalar(rest)
+            elif at < len(lines) and (lines[at][0] > indent or (lines[at][0] == indent and lines[at][1].startswith("-"))):
+                out[key], at = block(at, lines[at][0])
+            else:
+                out[key] = None
+        if at < len(lines) and lines[at][0] > indent:
+            raise ValueError(f"wrong indentation: {lines[at][1]}")
+        return out, at
+
+    if not lines:
+        return {}
+    value, at = block(0, lines[0][0])
+    if at < len(lines):
+        raise ValueError(f"wrong indentation: {lines[at][1]}")
+    return value
+
+
+def settings_of(spark: SparkSession, path: str, variables: dict[str, str] | None = None):
+    """A YAML or JSON settings file, local or remote, with its variables expanded."""
+    text = spark.read.text(path, wholetext=True).first().value
+    raw = json.loads(text) if text.lstrip().startswith("{") else parse_yaml(text)
     return expand_variables(raw, dict(os.environ) if variables is None else variables)
+
+
+def flat(value, prefix: str = "") -> dict[str, str]:
+    """Nested settings as dotted keys and texts."""
+    if isinstance(value, dict | list):
+        pairs = value.items() if isinstance(value, dict) else enumerate(value)
+        return {k: v for key, inner in pairs for k, v in flat(inner, f"{prefix}{key}.").items()}
+    return {prefix[:-1]: "" if value is None else str(value)}
