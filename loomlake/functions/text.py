@@ -131,6 +131,7 @@ def redact(text: Column | str) -> Column:
 def config_hash(*columns: str) -> Column:
     """The first 16 signs of the hash of a row's settings as a JSON object with sorted keys, ``", "``
     between them and ``": "`` behind each; null as null."""
-    fields = [F.concat(F.lit(f'"{c}": '), F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', 1), F.lit("null"))) for c in sorted(columns)]
+    value = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":(.*)\}$', 1)
+    fields = [F.concat(F.lit(f'"{c}": '), value(c)) for c in sorted(columns)]
     text = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
     return F.substring(F.sha2(text, 256), 1, 16)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlake.functions import text as tx
-from loomlake.operators import chunking, retrieval
+from loomlake.operators import chunking, retrieval, similarity
 from loomlake.plans.registry import query
-from loomlake.workspace import table
+from loomlake.sources import sinks
+from loomlake.workspace import small, stored, table
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -126,16 +127,39 @@ def chunk_policy(spark, d):
     return chunking.by_policy(table(spark, d, "documents"), "doc_id", "text", 128, 16)
 
 
-@query()
+def by_length(texts: list[str]) -> list[list[int]]:
+    """A stand-in of an embedding model: words by their length modulo 8."""
+    out = []
+    for t in texts:
+        lengths = [len(w) % 8 for w in t.split(" ")]
+        out.append([lengths.count(j) for j in range(8)])
+    return out
+
+
+VECTOR = "[CAST(len(list_filter(string_split({0}, ' '), lambda w: length(w) % 8 = j)) AS DOUBLE) FOR j IN range(8)]"
+CHUNKS = "c AS (SELECT doc_id || '_chunk_' || (s // 350) AS chunk_id, substr(text, CAST(s + 1 AS BIGINT), 400) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 350)) AS s FROM documents WHERE length(text) > 0))"
+
+
+@query(f"""WITH {CHUNKS}, t AS (SELECT chunk_id, text, {WORDS} AS w FROM c) SELECT chunk_id, len(w) AS words, len(list_distinct(w)) AS terms, {VECTOR.format('text')} AS embedding FROM t""")
 def index_kb(spark, d):
-    """Chunks of the documents with their terms counted: what a rebuilt index holds."""
-    chunks = chunking.by_policy(table(spark, d, "documents"), "doc_id", "text").select(F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("chunk_id"), F.col("chunk").alias("text"))
-    return retrieval.postings(chunks, "chunk_id", "text").groupBy("chunk_id").agg(F.count("*").alias("terms"), F.max("len").cast("long").alias("words"))
+    """Passages are embedded by an injected function, added to a stored collection, and their terms counted."""
+    p = chunking.by_characters(table(spark, d, "documents"), "doc_id", "text", 400, 50)
+    named = p.select(F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.floor(F.col("start") / 350).cast("string")).alias("chunk_id"), F.col("chunk").alias("text"))
+    held, posted = retrieval.index_documents(named, "chunk_id", "text", by_length, sinks.folder(spark, "collection"))
+    terms = posted.groupBy(F.col("id").alias("chunk_id")).agg(F.count("*").alias("terms"), F.max("len").cast("long").alias("words"))
+    vectors = held.select(F.col("id").alias("chunk_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return vectors.join(terms, "chunk_id", "left").select("chunk_id", zero("words"), zero("terms"), "embedding")
 
 
-@query("SELECT vec_id, len(embedding) AS dimension, round(sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 4) AS norm FROM embeddings")
+@query(f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {VECTOR.format('text')} END AS embedding FROM documents")
 def embed(spark, d):
-    """Vectors come from the table; a model would be an injected Arrow function."""
+    e = retrieval.embedded(table(spark, d, "documents"), "doc_id", "text", by_length)
+    return e.select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+
+
+@query("SELECT vec_id, len(embedding) AS dimension, round(sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 4) AS norm FROM embeddings")
+def embedding_norms(spark, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dimension"), F.round(norm, 4).alias("norm"))
@@ -258,17 +282,27 @@ def token_stats(spark, d):
     return n.agg(F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("median"), F.round(F.percentile("n", 0.95), 6).alias("p95"), F.max("n").alias("most"), F.min("n").alias("least"))
 
 
-@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') AS w FROM eval_items), g AS (SELECT item_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(lower(x), '[\p{L}\p{N}_]+') AS w FROM (SELECT item_id, question AS x FROM eval_items UNION ALL SELECT item_id, answer FROM eval_items)), g AS (SELECT item_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
  m AS (SELECT sample_id, regexp_extract_all(lower(m.content), '[\p{L}\p{N}_]+') AS w FROM (SELECT sample_id, unnest(messages) AS m FROM samples)), h AS (SELECT sample_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT sample_id, w, unnest(range(1, len(w) - 6)) AS i FROM m WHERE len(w) >= 8))
  SELECT DISTINCT item_id, sample_id FROM g JOIN h USING (gram)""")
 def ngram_contamination(spark, d):
-    """Samples that share eight words in a row with a question."""
+    """Samples that share eight words in a row with a question or an answer."""
 
     def grams(df, key, text):
         w = df.select(key, tx.tokenize_word(text).alias("w")).where(F.size("w") >= 8)
         each = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(8)), " ")))
-        return w.select(key, F.explode(each).alias("gram"))
+        return w.select(key, F.explode(F.array_distinct(each)).alias("gram"))
 
-    asked = grams(table(spark, d, "eval_items"), "item_id", "question")
+    items = table(spark, d, "eval_items").select("item_id", F.explode(F.array("question", "answer")).alias("text"))
+    asked = stored(grams(items, "item_id", "text").distinct(), "asked")
     said = grams(table(spark, d, "samples").select("sample_id", F.explode("messages").alias("m")).select("sample_id", F.col("m.content").alias("text")), "sample_id", "text")
-    return said.join(asked, "gram").select("item_id", "sample_id").distinct()
+    return said.join(small(asked, 96), "gram").select("item_id", "sample_id").distinct()
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), g AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)])) AS g FROM t WHERE len(w) >= 5),
+ k AS (SELECT g, min(doc_id) AS class FROM g GROUP BY 1), e AS (SELECT class, len(g) AS n, unnest(g) AS gram FROM k), p AS (SELECT a.class AS a, b.class AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.gram = b.gram AND a.class < b.class GROUP BY 1, 2, 3, 4),
+ l AS (SELECT x, count(*) AS links FROM (SELECT a AS x FROM p WHERE c >= 0.85e0 * (na + nb - c) - 1e-9 UNION ALL SELECT b FROM p WHERE c >= 0.85e0 * (na + nb - c) - 1e-9) GROUP BY 1)
+ SELECT DISTINCT doc_id, class, coalesce(links, 0) AS links FROM g JOIN k USING (g) LEFT JOIN l ON x = class""")
+def near_dup_jaccard(spark, d):
+    """Documents whose sets of five-word sequences have a similarity of 0.85 or more: class and number of similar classes."""
+    return similarity.near_duplicates(table(spark, d, "documents"), "doc_id", "text")

@@ -75,9 +75,9 @@ def bundle(samples: DataFrame, documents: DataFrame, path: str, provenance: Data
     kind = F.coalesce("sample_type", F.lit("unknown")) if "sample_type" in samples.columns else F.lit("unknown")
     quality = samples.groupBy("split", kind.alias("sample_type")).agg(F.count("*").alias("n"))
     quality.coalesce(1).write.json(f"{path}/reports/quality")
-    title = spark.createDataFrame([(f"# {name} {version}",), ("",), ("| split | type | samples |",), ("|-|-|-|",)], "value string")
-    lines = quality.orderBy("split", "sample_type").select(F.format_string("| %s | %s | %d |", "split", "sample_type", "n").alias("value"))
-    title.union(lines).coalesce(1).write.text(f"{path}/card")
+    title = spark.createDataFrame([(i, "", "", x) for i, x in enumerate((f"# {name} {version}", "", "| split | type | samples |", "|-|-|-|"))], "at int, split string, sample_type string, value string")
+    lines = quality.select(F.lit(9).alias("at"), "split", "sample_type", F.format_string("| %s | %s | %d |", "split", "sample_type", "n").alias("value"))
+    title.union(lines).coalesce(1).sortWithinPartitions("at", "split", "sample_type").select("value").write.text(f"{path}/card")  # a line per split and type
     digests = file_digests(spark, path).where("bytes > 0 AND name LIKE 'part-%'")
     digests.select(F.concat_ws("  ", "sha256", "tail")).write.text(f"{path}/checksums")
     ordered = spark.read.text(f"{path}/checksums").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("value")), "\n"), 256)).first()[0]  # one line a file
