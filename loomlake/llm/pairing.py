@@ -122,6 +122,76 @@ def keyed_pairs(keyed: DataFrame, name: str, cap: int = CAP, star: bool = True)
     return pairs, found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("size"))
 
 
+CROSS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
+
+
+def cross_pairs(batches: Iterator[pa.RecordBatch], limit: int = CAP * CAP) -> Iterator[pa.RecordBatch]:
+    """Rows (key, side, fp) sorted by all three -> different pairs (a < b, false) of a node of either
+    side of a key; for a key with more than ``limit`` of them a row (key, number, true) instead.
+
+    Holds a batch, and of a key that goes on behind it as many rows as can still give pairs.
+    """
+    names = ["key", "side", "fp"]
+    held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)]
+    more = np.zeros(2, np.int64)  # rows of the held key that are only counted, by side
+
+    def give(key, side, fp, extra):
+        """Pairs of whole keys; ``extra`` counts further rows of the last one."""
+        new = np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]) | (fp[1:] != fp[:-1])]
+        key, side, fp = key[new], side[new], fp[new]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        right = np.add.reduceat(side.astype(np.int64), start)
+        left = size - right
+        total = left * right
+        total[-1] = (left[-1] + extra[0]) * (right[-1] + extra[1])
+        hot = total > limit
+        if hot.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[start[hot]]), pa.array(total[hot]), pa.array(np.ones(hot.sum(), bool))], schema=CROSS)
+        use = np.flatnonzero(~hot & (total > 0))
+        at = 0
+        while at < len(use):  # so many keys that their pairs fit
+            upto = at + max(1, int(np.searchsorted(np.cumsum(total[use[at:]]), 1 << 20)))
+            part = use[at:upto]
+            at = upto
+            n = total[part]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            s, l, r = (np.repeat(x[part], n) for x in (start, left, right))
+            x, y = fp[s + nth // r], fp[s + l + nth % r]
+            two = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
+            two = np.unique(two, axis=0) if len(two) else two
+            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(np.zeros(len(two), bool))], schema=CROSS)
+
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        now = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        if len(held[0]) and now[0][0] != held[0][0]:
+            yield from give(*held, more)
+            held, more = [x[:0] for x in held], np.zeros(2, np.int64)
+        both = [np.r_[x, y] for x, y in zip(held, now, strict=True)]
+        cut = len(both[0]) - int((both[0] == both[0][-1]).sum())
+        if cut:
+            yield from give(*(x[:cut] for x in both), np.zeros(2, np.int64))
+        held = [x[cut:] for x in both]
+        for s in (0, 1):  # of either side no more rows than a key below the limit can have
+            of = np.flatnonzero(held[1] == bool(s))
+            if len(of) > limit + 1:
+                gone = of[limit + 1 :]
+                more[s] += len(gone)
+                held = [np.delete(x, gone) for x in held]
+    if len(held[0]):
+        yield from give(*held, more)
+
+
+def sided_pairs(keyed: DataFrame, name: str, limit: int = CAP * CAP) -> tuple[DataFrame, DataFrame]:
+    """(key long, side boolean, fp long) -> stored distinct pairs (a < b) of a node of either side, and
+    the keys (key, size) with more than ``limit`` of them."""
+    rows = keyed.select("key", "side", "fp").repartition("key").sortWithinPartitions("key", "side", "fp")
+    found = stored(rows.mapInArrow(lambda it: cross_pairs(it, limit), "a long, b long, hot boolean"), name)
+    return found.where("NOT hot").select("a", "b").distinct(), found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("size"))
+
+
 def _blocks(word_count: int, differ):
     """The rows of one block pair -> pairs that the sketch lets through."""
 

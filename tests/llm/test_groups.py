@@ -75,6 +75,95 @@ def test_overlaps_equal_brute_force(spark, cap):
     assert all(0 < r.cover <= 1 for r in got)
 
 
+def shares_a_seed(a, b, seeds):
+    import numpy as np
+
+    from loomlake.llm.texts import distinct_grams, hashed
+
+    with np.errstate(over="ignore"):
+        flat, counts = hashed([" ".join(a), " ".join(b)])
+        owner, _ = distinct_grams(flat, counts, 3)
+        x, of = overlap._seeds(flat, counts, np.bincount(owner, minlength=2), *seeds)
+    return bool(set(x[of == 0].tolist()) & set(x[of == 1].tolist()))
+
+
+def evenly(words_, gap, how, start):
+    out = []
+    for i, w in enumerate(words_):
+        if i % gap == start:
+            out += {"exchange": ["new%d" % i], "insert": ["new%d" % i, w], "drop": []}[how]
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("length", [90, 150, 300])
+def test_seeds_find_evenly_edited_pairs(length):
+    tried = 0
+    for gap in range(12, 19):
+        for start in (0, 5, gap - 1):
+            for how in ("exchange", "insert", "drop"):
+                a = [f"w{i}" for i in range(length)]
+                b = evenly(a, gap, how, start)
+                if similar({"a": " ".join(a), "b": " ".join(b)}, 0.6):
+                    tried += 1
+                    assert shares_a_seed(a, b, (overlap.SEED, overlap.WINDOW)), (gap, start, how)
+    assert tried > 50
+
+
+def test_exact_seeds_find_every_pair_at_the_threshold():
+    import random
+
+    rng, tried = random.Random(8), 0
+    for _ in range(4000):
+        n = rng.choice([3, 4, 5, 6, 8, 10, 14, 20, 30, 45, 60, 63, 80, 120])
+        a, gap = [f"w{i}" for i in range(n)], rng.randint(4, 14)
+        kind = rng.choice(["exchange", "insert", "drop", "move", "mixed"])
+        if kind == "move":  # blocks of one length in another order
+            blocks = [a[i : i + gap] for i in range(0, n, gap)]
+            rng.shuffle(blocks)
+            b = [w for x in blocks for w in x]
+        elif kind == "mixed":
+            b = evenly(evenly(a, gap, "exchange", 1), gap + rng.randint(1, 9), rng.choice(["insert", "drop"]), 2)
+        else:
+            b = evenly(a, gap, kind, rng.randrange(gap))
+        if similar({"a": " ".join(a), "b": " ".join(b)}, 0.6):
+            tried += 1
+            assert shares_a_seed(a, b, overlap.EXACT), (n, gap, kind)
+    assert tried > 500
+
+
+@pytest.mark.parametrize("seeds", [(overlap.SEED, overlap.WINDOW), overlap.EXACT])
+def test_overlaps_amid_a_stock_phrase(spark, seeds):
+    phrase = " ".join(f"stock{i}" for i in range(14))
+    texts = {k: f"{v} {phrase}" for k, v in edited(21, families=20, members=6).items()}
+    side = {k: ("train", "validation", "train", "holdout")[i % 4] for i, k in enumerate(texts)}
+    got = overlap.cross_split_overlaps(samples(spark, texts.items()), split_rows(spark, side.items()), cap=6, seeds=seeds).collect()
+    want = {(a, b) if side[a] == "train" else (b, a) for a, b in similar(texts, 0.6) if (side[a] == "train") != (side[b] == "train")}
+    assert {(r.train_id, r.held_id) for r in got} == want and len(got) == len(want) and want
+
+
+@pytest.mark.parametrize("batch", [1, 7, 5000])
+def test_sided_pairs_equal_brute_force(batch):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(batch)
+    rows = sorted({(rng.choice([1, 2, 3, 3, 3, 3, 4 + rng.randrange(40)]), rng.random() < 0.4, rng.randrange(60)) for _ in range(400)})
+    rows = sorted(rows + rows[:50])
+    table = pa.table({n: pa.array(c) for n, c in zip(("key", "side", "fp"), zip(*rows, strict=True), strict=True)})
+    out = [tuple(r.values()) for b in pairing.cross_pairs(iter(table.to_batches(batch)), 200) for r in b.to_pylist()]
+    pairs, hot = set(), {}
+    for key in {r[0] for r in rows}:
+        left, right = ({fp for k, s, fp in rows if k == key and s == side} for side in (False, True))
+        if len(left) * len(right) > 200:
+            hot[key] = len(left) * len(right)
+        else:
+            pairs |= {(min(x, y), max(x, y)) for x in left for y in right if x != y}
+    assert {(a, b) for a, b, h in out if not h} == pairs and {a for a, _, h in out if h} == set(hot) and hot
+
+
 def test_overlap_of_nothing(spark):
     s = samples(spark, [("a", "one two three four"), (None, "x y z"), ("b", None)])
     assert overlap.cross_split_overlaps(s, split_rows(spark, [("a", "train"), (None, "holdout"), ("b", None)])).count() == 0
