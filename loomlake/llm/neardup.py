@@ -79,6 +79,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 fp = pairing.set_print(owner, x, starts)
+                if len(seen) > 1 << 20:  # only spares work
+                    seen.clear()
                 lead = np.fromiter((f not in seen and not seen.add(f) for f in fp.tolist()), bool, len(fp))
                 size = np.diff(np.r_[starts, len(x)])
                 pick = np.flatnonzero(lead)

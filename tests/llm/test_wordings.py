@@ -2,7 +2,8 @@
 
 import pytest
 
-from loomlake.llm import residue
+from loomlake.llm import answers, residue
+from tests.llm.fixtures import message, samples
 
 RESIDUE = [
     "Dear {{ first_name }}, thank you for your order.", "Hello %%FIRSTNAME%%, we miss you!", "Hi *|FNAME|*, your statement is ready.", "Sehr geehrter Herr {Nachname}, Ihr Termin steht fest.", "Estimada [NOMBRE DEL CLIENTE]: adjuntamos su contrato.",
@@ -42,3 +43,37 @@ def test_residue_on_held_out_wordings(index):
     wrong = [(t, index.judge(t)) for t in SOUND if index.judge(t)[0]]
     recall, precision = 1 - len(missed) / len(RESIDUE), (len(RESIDUE) - len(missed)) / (len(RESIDUE) - len(missed) + len(wrong))
     assert recall >= 0.9 and precision >= 0.9, (recall, precision, missed, wrong)
+
+
+ASKED = {
+    "en": "How do I change the address on my savings account, and how long does the bank take to confirm it?",
+    "es": "¿Cómo cambio la dirección de mi cuenta de ahorro y cuánto tarda el banco en confirmarla?",
+    "fr": "Comment changer l'adresse de mon compte d'épargne et combien de temps la banque met-elle pour confirmer ?",
+    "de": "Wie ändere ich die Adresse zu meinem Sparkonto und wie lange braucht die Bank für die Bestätigung?",
+}
+DEFECTS = [
+    *(("en", a, "refusal") for a in ("I can't help you with this request.", "I'm unable to answer that question.", "Sorry, I won't discuss this.", "I must decline.", "That falls outside my scope.", "I'm not permitted to talk about accounts.", "I'd prefer not to answer.", "It is against my policy to answer this.")),
+    ("es", "Lo siento, no puedo responder a esa pregunta.", "refusal"), ("es", "No estoy autorizado a hablar de ello.", "refusal"), ("fr", "Je ne peux pas répondre à cette demande.", "refusal"), ("fr", "Désolé, je refuse de répondre.", "refusal"), ("de", "Dabei kann ich leider nicht weiterhelfen.", "refusal"), ("de", "Ich darf dazu keine Auskunft erteilen.", "refusal"),
+    *(("en", a, "empty") for a in ("", "  ", "...", "n/a", "(empty)", "<no answer>", "None.", "-", "null", "No response available")), ("de", "keine Angabe", "empty"), ("es", "sin contenido", "empty"), ("fr", "Aucune réponse.", "empty"),
+    *((q, ASKED[q], "copy") for q in ASKED), ("en", "Your question: " + ASKED["en"], "copy"), ("en", ASKED["en"].lower().rstrip("?"), "copy"), ("de", "Frage: " + ASKED["de"], "copy"),
+    ("en", "Usted cambia la dirección en la sucursal con su documento de identidad y el banco la confirma en dos días.", "other_language"), ("de", "You change the address in the branch with your identity card and the bank confirms it within two days.", "other_language"),
+    ("fr", "Sie ändern die Adresse in der Filiale mit dem Ausweis, und die Bank bestätigt sie in zwei Tagen.", "other_language"), ("es", "Vous changez l'adresse à l'agence avec une pièce d'identité et la banque confirme sous deux jours.", "other_language"),
+    ("en", "Você muda o endereço na agência com os seus documentos e o banco não cobra nada, mas confirma em dois dias.", "other_language"), ("en", "您可以在分行更改地址，银行会在两天内确认。", "other_language"), ("de", "Клиент меняет адрес в отделении, банк подтверждает его через два дня.", "other_language"),
+    ("en", "You change it in the branch with your card. The bank confirms it within", "truncated"), ("en", "You can do it in three ways:\n1. In the branch\n2. By letter\n3.", "truncated"), ("en", "Bring the following: your card, your", "truncated"), ("en", "Open the form below.\n```\nname: x", "truncated"),
+    ("de", "Sie ändern sie in der Filiale. Die Bank bestätigt sie innerhalb von", "truncated"), ("fr", "Vous la changez à l'agence. La banque confirme sous deux jours et", "truncated"), ("es", "La cambia en la sucursal. El banco la confirma en dos días hábiles y después…", "truncated"), ("en", "The bank confirms it (usually by letter,", "truncated"), ("en", "You change it in the branch. The bank conf", "truncated"),
+]
+GOOD = [
+    *(("en", a) for a in ("You change it in the branch with your card. The bank confirms it within two days.", "Two days", "In the branch.", "Which account do you mean?", "No, that is not needed.", "The bank can't change it by phone, but the branch does it at once when you bring your card.", "I can confirm the change within two days. Please bring your identity card to the branch.", "Do it in three steps:\n1. Open the app\n2. Choose your account\n3. Change the address", "- In the branch\n- By letter\n- In the app", "The form is here:\n```\nname: x\n```", "Write to \"Customer Service\"", "See https://example.com/address", "Form A-12", "You will not pay anything for this; the bank confirms it by letter.", "Change the address under Settings > Profile > Address", "Thanks! It was changed today.", "It depends: do you live in the country or abroad?", "Nothing has to be paid.", "The branch must help you if the app does not open. Call it before noon.", "It takes two days (three in summer)")),
+    ("es", "La cambia en la sucursal con su documento y el banco la confirma en dos días."), ("es", "Dos días"), ("fr", "Vous la changez à l'agence et la banque confirme sous deux jours."), ("fr", "Sous deux jours"), ("de", "Sie ändern sie in der Filiale, und die Bank bestätigt sie in zwei Tagen."), ("de", "Zwei Tage"), ("de", "Das kann ich Ihnen gern erklären: Sie gehen mit dem Ausweis in die Filiale, und die Bank bestätigt die Adresse am 3. Mai."), ("fr", "Non, ce n'est pas possible par téléphone. L'agence s'en charge sur présentation d'une pièce d'identité."), ("es", "No puede hacerlo por teléfono, pero la sucursal lo hace en el acto con su documento."), ("en", "The answer in Spanish is \"en la sucursal\"."),
+]
+
+
+def test_defects_on_held_out_wordings(spark):
+    cases = [*DEFECTS, *((q, a, None) for q, a in GOOD)]
+    df = samples(spark, [(f"{i:03d}", [message("user", ASKED[q]), message("assistant", a)]) for i, (q, a, _) in enumerate(cases)])
+    got = {int(r.sample_id): r.defect for r in answers.defective_answers(df).collect()}
+    right = sum(d is not None and got.get(i) == d for i, (*_, d) in enumerate(cases))
+    off = [(cases[i], got.get(i)) for i in range(len(cases)) if got.get(i) != cases[i][2]]
+    recall, precision = right / len(DEFECTS), right / len(got)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision, off)
+    print(recall, precision, off)
