@@ -2,7 +2,7 @@
 
 Winnowing: rolling hashes of ``SEED`` words, of which the minimum of every window of ``WINDOW``
 hashes is kept, so any common run of SEED + WINDOW - 1 words shares a seed; shorter texts keep all
-sequences of fewer words.  Only train seeds that a bitmap of the held-out seeds may hold are joined
+sequences of fewer words.  Only seeds that a bitmap of the other side's may hold are joined
 across splits, bit sketches drop pairs that cannot reach the threshold, and the pairs left are
 aligned: collinear seeds are chained, extended word by word, and give the coverage of either record.
 
@@ -80,18 +80,26 @@ def _seeds(flat: np.ndarray, counts: np.ndarray, n: np.ndarray, seed: int, windo
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _bits(size: int, seed: int, window: int):
-    """Texts -> the bitmap of their seeds, in parts (part, bits)."""
+def _places(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits that a seed has in a bitmap."""
+    return (x % U64(size)).astype(np.int64), ((x >> U64(29)) % U64(size)).astype(np.int64)
+
+
+def _may_hold(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    one, two = (((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) for at in _places(x, len(known) * 8))
+    return one & two
+
+
+def _bits(size: int, seeds_of):
+    """Batches -> the bitmap of their seeds, as ``seeds_of`` gives them, in parts (part, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
-                with np.errstate(over="ignore"):
-                    flat, counts = hashed(batch.column(0).slice(at, STEP).to_pylist())
-                    owner, _ = distinct_grams(flat, counts, SEQUENCE)
-                    x, _ = _seeds(flat, counts, np.bincount(owner, minlength=len(counts)), seed, window)
-                    bits[(x % U64(size)).astype(np.int64)] = True
+                x = seeds_of(batch.slice(at, STEP))
+                for place in _places(x, size):
+                    bits[place] = True
         parts = np.packbits(bits, bitorder="little").reshape(64, -1)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
@@ -104,19 +112,45 @@ def _either(rows: pa.Table) -> pa.Table:
     return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
 
 
-def held_filter(texts: DataFrame, held: int, seed: int, window: int) -> np.ndarray:
-    """A bitmap of the held-out texts' seeds, of a size that grows with their number up to a bound."""
-    size = 1 << min(max((held * BITS - 1).bit_length(), 12), MOST_BITS.bit_length() - 1)
-    made = texts.where("held").select("text").mapInArrow(_bits(size, seed, window), "part int, bits binary").groupBy("part").applyInArrow(_either, "part int, bits binary")
+def bitmap(rows: DataFrame, size: int, seeds_of) -> np.ndarray:
+    """The bitmap of all rows' seeds, whose size does not depend on their number."""
+    made = rows.mapInArrow(_bits(size, seeds_of), "part int, bits binary").groupBy("part").applyInArrow(_either, "part int, bits binary")
     bits = np.zeros((64, size // 512), np.uint8)
     for r in made.toLocalIterator():  # 64 rows of at most 256 KB
         bits[r.part] = np.frombuffer(r.bits, np.uint8)
     return bits.ravel()
 
 
-def _scan(known: np.ndarray, seed: int, window: int):
-    size = U64(len(known) * 8)
+def _of_texts(seed: int, window: int):
+    def seeds_of(part: pa.RecordBatch) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            flat, counts = hashed(part.column(0).to_pylist())
+            owner, _ = distinct_grams(flat, counts, SEQUENCE)
+            return _seeds(flat, counts, np.bincount(owner, minlength=len(counts)), seed, window)[0]
+
+    return seeds_of
+
+
+def _of_lists(part: pa.RecordBatch) -> np.ndarray:
+    return part.column(0).flatten().to_numpy().view(U64)
 
+
+def _keyed(met: np.ndarray):
+    """(fp, held, n, seeds) -> (key, side, fp, n): held-out seeds only if the bitmap of train's may hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.diff(b.column(3).offsets.to_numpy())
+            key, row = b.column(3).flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size)
+            held = b.column(1).to_numpy(zero_copy_only=False)
+            keep = ~held[row] | _may_hold(met, key.view(U64))
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), b.column(1).take(row), b.column(0).take(row), b.column(2).take(row)], names=["key", "side", "fp", "n"])
+
+    return run
+
+
+def _scan(known: np.ndarray, seed: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, bool]] = set()
         for batch in batches:
@@ -132,8 +166,7 @@ def _scan(known: np.ndarray, seed: int, window: int):
                     n = np.bincount(owner, minlength=len(counts))
                     key, of = _seeds(flat, counts, n, seed, window)
                     held = part.column(3).to_numpy(zero_copy_only=False)
-                    bit = (key % size).astype(np.int64)
-                    may = held[of] | ((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+                    may = held[of] | _may_hold(known, key)
                 key, of = key[may], of[may]
                 if len(seen) > 1 << 20:  # only spares work
                     seen.clear()
@@ -260,16 +293,18 @@ def overlapping_nodes(samples: DataFrame, split_rows: DataFrame, cap: int = pair
     members (sample_id, split, held, fp) of all nodes.  Both are stored tables."""
     roles = stored(_roles(split_rows), "roles")
     texts = pairing.texts_of(samples).join(small(roles, 160), "sample_id").select("sample_id", "text", "split", "held")
-    known = held_filter(texts, roles.where("held").count(), *seeds)
+    size = 1 << min(max((roles.where("held").count() * BITS - 1).bit_length(), 12), MOST_BITS.bit_length() - 1)
+    known = bitmap(texts.where("held").select("text"), size, _of_texts(*seeds))
     sig = stored(texts.mapInArrow(_scan(known, *seeds), SIGNATURE), "seeds")
     member = stored(sig.select("sample_id", "split", "held", "fp").distinct(), "members")
     lead, sketch = sig.where("lead"), [f"s{i}" for i in range(WORDS)]
     flags = lead.groupBy("fp").agg(F.max("held").alias("held"), F.max(~F.col("held")).alias("train"), F.min("sample_id").alias("rep"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in sketch))
     nodes = stored(flags, "nodes")
-    keyed = lead.select(F.explode("seeds").alias("key"), F.col("held").alias("side"), "fp")
-    pairs, hot = pairing.sided_pairs(keyed, "seeded", cap * cap)
+    met = bitmap(lead.where("NOT held").select("seeds"), size, _of_lists)
+    keyed = lead.select("fp", "held", "n", "seeds").mapInArrow(_keyed(met), "key long, side boolean, fp long, n int")
+    pairs, hot = pairing.sided_pairs(keyed, "seeded", SIMILARITY, cap * cap)
     if not hot.isEmpty():
-        at = keyed.join(small(hot.select("key").distinct(), 64), "key").distinct()
+        at = keyed.drop("n").join(small(hot.select("key").distinct(), 64), "key").distinct()
         marked = stored(at.join(nodes.drop("rep", "held", "train"), "fp").withColumn("label", F.col("fp")), "large")
         pairs = pairs.union(pairing.block_pairs(marked.where("NOT side").drop("side"), marked.where("side").drop("side"), WORDS, _may_reach))
     side = lambda x: nodes.select(F.col("fp").alias(x), F.struct(*sketch, "n", "held", "train").alias(f"k{x}"))

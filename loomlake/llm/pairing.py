@@ -125,20 +125,20 @@ def keyed_pairs(keyed: DataFrame, name: str, cap: int = CAP, star: bool = True)
 CROSS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch], limit: int = CAP * CAP) -> Iterator[pa.RecordBatch]:
-    """Rows (key, side, fp) sorted by all three -> different pairs (a < b, false) of a node of either
-    side of a key; for a key with more than ``limit`` of them a row (key, number, true) instead.
+def cross_pairs(batches: Iterator[pa.RecordBatch], least: float = 0.0, limit: int = CAP * CAP) -> Iterator[pa.RecordBatch]:
+    """Rows (key, side, fp, n) sorted by the first three -> different pairs (a < b, false) of a node of
+    either side of a key, whose sizes ``n`` differ by no more than the factor ``least``; for a key
+    with more than ``limit`` of them, whatever their sizes, a row (key, number, true) instead.
 
     Holds a batch, and of a key that goes on behind it as many rows as can still give pairs.
     """
-    names = ["key", "side", "fp"]
-    held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)]
+    held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int32)]
     more = np.zeros(2, np.int64)  # rows of the held key that are only counted, by side
 
-    def give(key, side, fp, extra):
+    def give(key, side, fp, n, extra):
         """Pairs of whole keys; ``extra`` counts further rows of the last one."""
         new = np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]) | (fp[1:] != fp[:-1])]
-        key, side, fp = key[new], side[new], fp[new]
+        key, side, fp, n = key[new], side[new], fp[new], n[new].astype(np.float64)
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         right = np.add.reduceat(side.astype(np.int64), start)
@@ -154,18 +154,22 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], limit: int = CAP * CAP) -> It
             upto = at + max(1, int(np.searchsorted(np.cumsum(total[use[at:]]), 1 << 20)))
             part = use[at:upto]
             at = upto
-            n = total[part]
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            s, l, r = (np.repeat(x[part], n) for x in (start, left, right))
-            x, y = fp[s + nth // r], fp[s + l + nth % r]
-            two = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
-            two = np.unique(two, axis=0) if len(two) else two
+            many = total[part]
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            s, l, r = (np.repeat(x[part], many) for x in (start, left, right))
+            x, y = s + nth // r, s + l + nth % r
+            near = (fp[x] != fp[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+            x, y = fp[x[near]], fp[y[near]]
+            two = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+            order = np.lexsort((two[:, 1], two[:, 0]))
+            two = two[order]
+            two = two[np.r_[True, (two[1:] != two[:-1]).any(axis=1)][: len(two)]]
             yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(np.zeros(len(two), bool))], schema=CROSS)
 
     for rows in batches:
         if not rows.num_rows:
             continue
-        now = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        now = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if len(held[0]) and now[0][0] != held[0][0]:
             yield from give(*held, more)
             held, more = [x[:0] for x in held], np.zeros(2, np.int64)
@@ -184,11 +188,11 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], limit: int = CAP * CAP) -> It
         yield from give(*held, more)
 
 
-def sided_pairs(keyed: DataFrame, name: str, limit: int = CAP * CAP) -> tuple[DataFrame, DataFrame]:
-    """(key long, side boolean, fp long) -> stored distinct pairs (a < b) of a node of either side, and
-    the keys (key, size) with more than ``limit`` of them."""
-    rows = keyed.select("key", "side", "fp").repartition("key").sortWithinPartitions("key", "side", "fp")
-    found = stored(rows.mapInArrow(lambda it: cross_pairs(it, limit), "a long, b long, hot boolean"), name)
+def sided_pairs(keyed: DataFrame, name: str, least: float, limit: int = CAP * CAP) -> tuple[DataFrame, DataFrame]:
+    """(key long, side boolean, fp long, n int) -> stored distinct pairs (a < b) of a node of either
+    side, and the keys (key, size) with more than ``limit`` of them."""
+    rows = keyed.select("key", "side", "fp", "n").repartition("key").sortWithinPartitions("key", "side", "fp")
+    found = stored(rows.mapInArrow(lambda it: cross_pairs(it, least, limit), "a long, b long, hot boolean"), name)
     return found.where("NOT hot").select("a", "b").distinct(), found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("size"))
 
 

@@ -152,15 +152,16 @@ def test_sided_pairs_equal_brute_force(batch):
     rng = random.Random(batch)
     rows = sorted({(rng.choice([1, 2, 3, 3, 3, 3, 4 + rng.randrange(40)]), rng.random() < 0.4, rng.randrange(60)) for _ in range(400)})
     rows = sorted(rows + rows[:50])
-    table = pa.table({n: pa.array(c) for n, c in zip(("key", "side", "fp"), zip(*rows, strict=True), strict=True)})
-    out = [tuple(r.values()) for b in pairing.cross_pairs(iter(table.to_batches(batch)), 200) for r in b.to_pylist()]
+    sizes = [1 + fp % 3 for *_, fp in rows]
+    table = pa.table({n: pa.array(c) for n, c in zip(("key", "side", "fp"), zip(*rows, strict=True), strict=True)}).append_column("n", pa.array(sizes, pa.int32()))
+    out = [tuple(r.values()) for b in pairing.cross_pairs(iter(table.to_batches(batch)), 0.5, 200) for r in b.to_pylist()]
     pairs, hot = set(), {}
     for key in {r[0] for r in rows}:
         left, right = ({fp for k, s, fp in rows if k == key and s == side} for side in (False, True))
         if len(left) * len(right) > 200:
             hot[key] = len(left) * len(right)
         else:
-            pairs |= {(min(x, y), max(x, y)) for x in left for y in right if x != y}
+            pairs |= {(min(x, y), max(x, y)) for x in left for y in right if x != y and {x % 3, y % 3} != {0, 2}}
     assert {(a, b) for a, b, h in out if not h} == pairs and {a for a, _, h in out if h} == set(hot) and hot
 
 
@@ -185,12 +186,13 @@ def test_alignment_finds_moved_and_edited_runs():
     assert overlap.align(a, ["q"] * 5)[0] == 0
 
 
-def test_contraction_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 20, contraction.SMALL])
+def test_contraction_equals_brute_force(spark, most):
     import random
 
     rng = random.Random(3)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(500, 500), (7, 8), (8, 7), (None, 3)]
-    labels, forest = contraction.spanning_forest(spark.createDataFrame(edges, "u long, v long"))
+    labels, forest = contraction.spanning_forest(spark.createDataFrame(edges, "u long, v long"), most)
     got: dict = {}
     for r in labels.collect():
         got.setdefault(r.root, set()).add(r.node)
