@@ -67,12 +67,43 @@ def _remove(jvm, configuration, path: str) -> None:
         pass
 
 
+class Scope:
+    """The tables stored inside a ``with`` block; at its end those not kept are deleted."""
+
+    open: list[Scope] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table made by ``stored`` that outlives the block (it then belongs to the block around it)."""
+        self.kept.add(df._stored_at)
+        return df
+
+    def __enter__(self) -> Scope:
+        Scope.open.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        Scope.open.remove(self)
+        if Scope.open:
+            Scope.open[-1].paths += [p for p in self.paths if p in self.kept]
+        for path in self.paths:
+            if path not in self.kept:
+                _remove(self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: the lineage ends at files that
-    outlive any executor."""
+    outlive any executor.  They are deleted at the end of the ``Scope`` around, if there is one, and
+    when the driver ends otherwise."""
     path = f"{application_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if Scope.open:
+        Scope.open[-1].paths.append(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT, rows: int | None = None) -> DataFrame:
