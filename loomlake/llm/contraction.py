@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.workspace import small, stored
+from loomlake.workspace import Scope, small, stored
 
 #: Edges that one task contracts (some 100 MB of arrays); their number is counted before.
 SMALL = 1 << 19
@@ -88,6 +88,12 @@ def spanning_forest(edges: DataFrame, most: int = SMALL) -> tuple[DataFrame, Dat
     Loops, repeated and reversed edges are allowed; an edge with a null end is ignored.  Both
     results are stored tables; an empty input gives empty tables.
     """
+    with Scope(edges.sparkSession) as scope:
+        labels, forest = _spanning_forest(edges, most)
+        return scope.keep(labels), scope.keep(stored(forest, "forest"))
+
+
+def _spanning_forest(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     spark = edges.sparkSession
     kind = edges.schema["u"].dataType
     pair = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomlake.llm import pairing
 from loomlake.llm.contraction import spanning_forest
 from loomlake.llm.texts import U64, distinct_grams, hashed, mix
-from loomlake.workspace import small, stored
+from loomlake.workspace import Scope, small, stored
 
 #: Words of a sequence and the least similarity, as TESTDATA.md gives them for this problem.
 SEQUENCE, SIMILARITY = 3, 0.6
@@ -135,6 +135,11 @@ def near_duplicate_groups(samples: DataFrame, cap: int = pairing.CAP) -> DataFra
     null id or fewer than three words belong to no group; no rows give no groups; other columns
     are ignored.  Buckets above ``cap`` are compared by blocks.
     """
+    with Scope(samples.sparkSession) as scope:
+        return scope.keep(stored(_groups(samples, cap), "groups"))
+
+
+def _groups(samples: DataFrame, cap: int) -> DataFrame:
     texts = pairing.texts_of(samples)
     sig = stored(texts.mapInArrow(_scan, SIGNATURE), "signatures")
     lead = sig.where("lead")

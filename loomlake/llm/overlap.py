@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomlake.llm import pairing
 from loomlake.llm.texts import U64, distinct_grams, grams, hashed, split_of, words
-from loomlake.workspace import small, stored
+from loomlake.workspace import Scope, small, stored
 
 #: Words of a sequence and the least similarity, as TESTDATA.md gives them for this problem.
 SEQUENCE, SIMILARITY = 3, 0.6
@@ -291,6 +291,12 @@ def _roles(split_rows: DataFrame) -> DataFrame:
 def overlapping_nodes(samples: DataFrame, split_rows: DataFrame, cap: int = pairing.CAP, seeds: tuple[int, int] = (SEED, WINDOW)) -> tuple[DataFrame, DataFrame]:
     """Verified pairs of different texts (a, b, similarity, cover_a, cover_b, runs), and the
     members (sample_id, split, held, fp) of all nodes.  Both are stored tables."""
+    with Scope(samples.sparkSession) as scope:
+        links, member = _overlapping_nodes(samples, split_rows, cap, seeds)
+        return scope.keep(links), scope.keep(member)
+
+
+def _overlapping_nodes(samples: DataFrame, split_rows: DataFrame, cap: int, seeds: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     roles = stored(_roles(split_rows), "roles")
     texts = pairing.texts_of(samples).join(small(roles, 160), "sample_id").select("sample_id", "text", "split", "held")
     size = 1 << min(max((roles.where("held").count() * BITS - 1).bit_length(), 12), MOST_BITS.bit_length() - 1)
@@ -307,7 +313,8 @@ def overlapping_nodes(samples: DataFrame, split_rows: DataFrame, cap: int = pair
         at = keyed.drop("n").join(small(hot.select("key").distinct(), 64), "key").distinct()
         marked = stored(at.join(nodes.drop("rep", "held", "train"), "fp").withColumn("label", F.col("fp")), "large")
         pairs = pairs.union(pairing.block_pairs(marked.where("NOT side").drop("side"), marked.where("side").drop("side"), WORDS, _may_reach))
-    side = lambda x: nodes.select(F.col("fp").alias(x), F.struct(*sketch, "n", "held", "train").alias(f"k{x}"))
+    sketched = small(nodes.drop("rep"), 160)  # both joins of the candidates are then made where they lie
+    side = lambda x: sketched.select(F.col("fp").alias(x), F.struct(*sketch, "n", "held", "train").alias(f"k{x}"))
     room = lambda x, y: F.expr(f"k{x}.n - (k{x}.n + k{y}.n) * {SIMILARITY / (1 + SIMILARITY)}D + 1e-6D")
     lacks = lambda x, y: pairing.popcount(WORDS, f"k{x}", f"k{y}", lambda p, q: p.bitwiseAND(F.bitwise_not(q)))
     near = (

@@ -189,11 +189,11 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], least: float = 0.0, limit: in
 
 
 def sided_pairs(keyed: DataFrame, name: str, least: float, limit: int = CAP * CAP) -> tuple[DataFrame, DataFrame]:
-    """(key long, side boolean, fp long, n int) -> stored distinct pairs (a < b) of a node of either
-    side, and the keys (key, size) with more than ``limit`` of them."""
+    """(key long, side boolean, fp long, n int) -> stored pairs (a < b) of a node of either side, which
+    may repeat, and the keys (key, size) with more than ``limit`` of them."""
     rows = keyed.select("key", "side", "fp", "n").repartition("key").sortWithinPartitions("key", "side", "fp")
     found = stored(rows.mapInArrow(lambda it: cross_pairs(it, least, limit), "a long, b long, hot boolean"), name)
-    return found.where("NOT hot").select("a", "b").distinct(), found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("size"))
+    return found.where("NOT hot").select("a", "b"), found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("size"))
 
 
 def _blocks(word_count: int, differ):
