@@ -155,3 +155,17 @@ def training_ready(spark: SparkSession, path: str, backend: str, encode: Callabl
         none(F.size("ids") > longest).alias("length"),
     )
     return out.union(checks.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("ok")) for c in checks.columns))).alias("x")).select("x.*"))
+
+
+def preflight(spark: SparkSession, needed: dict[str, tuple[str, str]]) -> DataFrame:
+    """(name, status, rows) of the tables that a run needs, given as name -> (path, key column): fail for
+    one that is absent or lacks its key, warn for one without rows or with rows without a key, else pass."""
+    out = spark.createDataFrame([], "name string, status string, rows long")
+    for name, (path, key) in needed.items():
+        df = spark.read.parquet(path) if exists(spark, path) else None
+        if df is None or key not in df.columns:
+            out = out.union(spark.createDataFrame([(name, "fail", None)], out.schema))
+            continue
+        n = df.agg(F.count("*").alias("rows"), F.count(key).alias("keys"))
+        out = out.union(n.select(F.lit(name), F.when((F.col("rows") == 0) | (F.col("keys") < F.col("rows")), "warn").otherwise("pass"), "rows"))
+    return out

@@ -306,3 +306,16 @@ def scan_yaml_config(spark, d):
 @query("""SELECT plan_id, sample_type, substr(sha256('{"draw_percent": ' || draw_percent || ', "min_rows": ' || min_rows || ', "plan_id": "' || plan_id || '", "target_bp": ' || target_bp || '}'), 1, 16) AS config_hash FROM sample_plan""")
 def config_hash(spark, d):
     return table(spark, d, "sample_plan").select("plan_id", "sample_type", tx.config_hash("target_bp", "plan_id", "min_rows", "draw_percent").alias("config_hash"))
+
+
+NEEDED = {"samples": "sample_id", "documents": "doc_id", "chunks": "source_doc_id", "provenance": "sample_id", "eval_items": "item_id", "task_results": "task_id"}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{t}' AS name, CASE WHEN count(*) = 0 OR count({k}) < count(*) THEN 'warn' ELSE 'pass' END AS status, count(*) AS rows FROM {t}" for t, k in NEEDED.items())
+    + " UNION ALL SELECT 'absent', 'fail', NULL UNION ALL SELECT 'keyless', 'fail', NULL"
+)
+def health_preflight(spark, d):
+    """Tables before a run; one that does not exist and one without the named key are asked for besides."""
+    needed = {t: (f"{d}/{t}.parquet", k) for t, k in NEEDED.items()} | {"absent": (f"{d}/absent.parquet", "id"), "keyless": (f"{d}/region.parquet", "no_such_key")}
+    return bd.preflight(spark, needed)

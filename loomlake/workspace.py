@@ -106,9 +106,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT, rows: int | None = None) -> DataFrame:
+def small(df: DataFrame, row_bytes: int, limit: int | None = None, rows: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcasting if its counted rows fit into ``limit`` bytes; leave it to a
     shuffled join otherwise.  ``df`` should be cheap to count (a stored table)."""
+    limit = BROADCAST_LIMIT if limit is None else limit
     if rows is None:
         rows = df.limit(limit // row_bytes + 1).count()
     return F.broadcast(df) if rows * row_bytes <= limit else df
