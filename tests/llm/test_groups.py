@@ -323,3 +323,25 @@ def test_smith_waterman_score():
     a, b = np.array([9, 1, 2, 3, 4, 9]), np.array([1, 2, 7, 3, 4])
     assert leakage.smith_waterman(a, b)[0] == 4 * leakage.EQUAL + leakage.GAP
     assert leakage.smith_waterman(np.array([1]), np.array([2]))[0] == 0
+
+
+def test_without_any_broadcast(spark, monkeypatch):
+    from loomlake import workspace
+
+    monkeypatch.setattr(workspace, "BROADCAST_LIMIT", 0)
+    monkeypatch.setattr(leakage, "BROADCAST_LIMIT", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = edited(13, families=6)
+        side = {k: ("train", "holdout")[i % 2] for i, k in enumerate(texts)}
+        s, sp = samples(spark, texts.items()), split_rows(spark, side.items())
+        assert groups_of(neardup.near_duplicate_groups(s, cap=4)) == expected_groups(texts)
+        got = {(r.train_id, r.held_id) for r in overlap.cross_split_overlaps(s, sp, cap=4).collect()}
+        assert got == {(a, b) if side[a] == "train" else (b, a) for a, b in similar(texts, 0.6) if side[a] != side[b]}
+        assert {r.sample_id: r.group_key for r in splits.related_groups(samples(spark, ROWS))[0].collect()} == related(ROWS)
+        items = [("i1", t, None) for t in list(texts.values())[:1]]
+        out = leakage.leaks(s, spark.createDataFrame(items, "item_id string, question string, answer string"), sp).where("exact")
+        assert {(r.item_id, r.sample_id) for r in out.collect()} == brute_leaks({k: [t] for k, t in texts.items()}, items, {k for k in texts if side[k] == "train"})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
