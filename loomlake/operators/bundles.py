@@ -44,7 +44,7 @@ def _sizes(spark: SparkSession, path: str, folder: str) -> dict[str, int]:
     """Lines that parse, by split; splits without a folder are absent."""
     if not exists(spark, f"{path}/{folder}"):
         return {}
-    lines = spark.read.schema("split string, value string").option("basePath", f"{path}/{folder}").text(f"{path}/{folder}")
+    lines = spark.read.option("recursiveFileLookup", True).text(f"{path}/{folder}").select("value", F.regexp_extract("_metadata.file_path", "split=([^/]+)", 1).alias("split"))
     rows = lines.where("try_parse_json(value) IS NOT NULL").groupBy("split").agg(F.count("*").alias("n")).toLocalIterator()  # one row per split
     return {r.split: r.n for r in rows}
 

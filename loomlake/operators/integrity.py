@@ -108,7 +108,8 @@ def exported_models(spark: SparkSession, path: str) -> DataFrame:
     parts that exist, shards that the index names and those of them that are there."""
     parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     at = parts.select(F.regexp_extract("path", "run_id=([^/]+)", 1).alias("run_id"), F.regexp_extract("path", "part=([^/]+)", 1).alias("part")).where("part <> ''").distinct()
-    lines = spark.read.schema("run_id string, part string, value string").option("basePath", path).text(path).where("part = 'index'")
+    inner = lambda name: F.regexp_extract("_metadata.file_path", f"{name}=([^/]+)", 1).alias(name)
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", inner("run_id"), inner("part")).where("part = 'index'")
     named = lines.select("run_id", F.explode(F.from_json("value", "array<string>")).alias("shard"))
     have = at.where("startswith(part, 'shard-')").select("run_id", F.substring("part", 7, 100).alias("shard"), F.lit(1).alias("here"))
     shards = named.join(have, ["run_id", "shard"], "left").groupBy("run_id").agg(F.count("*").alias("shards"), F.count("here").alias("found"))

@@ -176,7 +176,7 @@ def parse_yaml(text: str):
 
 def settings_of(spark: SparkSession, path: str, variables: dict[str, str] | None = None):
     """A YAML or JSON settings file, local or remote, with its variables expanded."""
-    text = spark.read.text(path, wholetext=True).first().value
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).toLocalIterator())
     raw = json.loads(text) if text.lstrip().startswith("{") else parse_yaml(text)
     return expand_variables(raw, dict(os.environ) if variables is None else variables)
 
