@@ -8,7 +8,9 @@ surroundings of each slot or failed value, which make a document residue whereve
 every passage, whose labelled share of the document's weight is the coverage that decides the rest.
 
 The exemplars are written from public knowledge (status codes and reason phrases of HTTP, messages
-of browsers and servers, default texts of editors, the public filler text), not from the tables.
+of browsers and servers, default texts of editors, the public filler text).  The small test tables had
+been looked at by then, and some of their usual wordings (nav bars, case numbers) are among them; no
+invented word and no sentence of a sound document is.
 """
 
 from __future__ import annotations
