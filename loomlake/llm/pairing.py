@@ -130,15 +130,16 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], least: float = 0.0, limit: in
     either side of a key, whose sizes ``n`` differ by no more than the factor ``least``; for a key
     with more than ``limit`` of them, whatever their sizes, a row (key, number, true) instead.
 
-    Holds a batch, and of a key that goes on behind it as many rows as can still give pairs.
+    Repeated rows count once.  Holds a batch, and of a key that goes on behind it as many rows as can
+    still give pairs.
     """
     held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int32)]
     more = np.zeros(2, np.int64)  # rows of the held key that are only counted, by side
+    last: list = []
 
     def give(key, side, fp, n, extra):
-        """Pairs of whole keys; ``extra`` counts further rows of the last one."""
-        new = np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]) | (fp[1:] != fp[:-1])]
-        key, side, fp, n = key[new], side[new], fp[new], n[new].astype(np.float64)
+        """Pairs of whole keys, from different rows; ``extra`` counts further rows of the last one."""
+        n = n.astype(np.float64)
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         right = np.add.reduceat(side.astype(np.int64), start)
@@ -170,9 +171,15 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], least: float = 0.0, limit: in
         if not rows.num_rows:
             continue
         now = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if len(held[0]) and now[0][0] != held[0][0]:
-            yield from give(*held, more)
-            held, more = [x[:0] for x in held], np.zeros(2, np.int64)
+        new = np.r_[[x[0] for x in now[:3]] != last, np.any([x[1:] != x[:-1] for x in now[:3]], axis=0)]
+        last = [x[-1] for x in now[:3]]
+        now = [x[new] for x in now]
+        if not len(now[0]):
+            continue
+        own = int((now[0] == held[0][0]).sum()) if len(held[0]) else 0
+        if len(held[0]) and own < len(now[0]):  # the held key ends in this batch
+            yield from give(*(np.r_[x, y[:own]] for x, y in zip(held, now, strict=True)), more)
+            held, more, now = [x[:0] for x in held], np.zeros(2, np.int64), [x[own:] for x in now]
         both = [np.r_[x, y] for x, y in zip(held, now, strict=True)]
         cut = len(both[0]) - int((both[0] == both[0][-1]).sum())
         if cut:

@@ -165,6 +165,19 @@ def test_sided_pairs_equal_brute_force(batch):
     assert {(a, b) for a, b, h in out if not h} == pairs and {a for a, _, h in out if h} == set(hot) and hot
 
 
+@pytest.mark.parametrize("batch", [1, 7, 50, 58, 5000])
+def test_sided_pairs_of_long_keys_and_repeated_rows(batch):
+    import pyarrow as pa
+
+    rows = [(1, False, i) for i in range(60)]  # longer than the limit, goes on in the next batch, no pair
+    rows += [(2, False, 7), (2, True, 8)]
+    rows += [(3, False, i // 15) for i in range(45)] + [(3, True, 99)] * 3  # three nodes of either side, many times
+    rows += [(4, False, i // 2) for i in range(120)] + [(4, True, i // 2) for i in range(120)] + [(5, False, 1), (5, True, 2)]
+    table = pa.table({n: pa.array(c) for n, c in zip(("key", "side", "fp"), zip(*rows, strict=True), strict=True)}).append_column("n", pa.array([10] * len(rows), pa.int32()))
+    out = sorted(tuple(r.values()) for b in pairing.cross_pairs(iter(table.to_batches(batch)), 0.5, 40) for r in b.to_pylist())
+    assert out == [(0, 99, False), (1, 2, False), (1, 99, False), (2, 99, False), (4, 3600, True), (7, 8, False)]
+
+
 def test_overlap_of_nothing(spark):
     s = samples(spark, [("a", "one two three four"), (None, "x y z"), ("b", None)])
     assert overlap.cross_split_overlaps(s, split_rows(spark, [("a", "train"), (None, "holdout"), ("b", None)])).count() == 0
