@@ -33,6 +33,12 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_bm25_score_makes_no_row_for_a_pair(spark):
+    """Scores of a query and a document are summed where they are made; no join gives them as rows."""
+    totals = catalog.QUERIES["bm25_score"](spark, SMALL)
+    assert "Join" not in totals._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory):
     import pyarrow.parquet as pq

@@ -23,6 +23,23 @@ def test_bm25_in_small_blocks_equals_the_scores(spark):
     assert retrieval.bm25_top(d, "doc", "text", q.limit(0), "q", "question", 5).count() == 0
 
 
+def test_bm25_totals_equal_those_of_the_scores(spark):
+    rng = random.Random(5)
+    docs = [(f"d{i:03d}", " ".join(rng.choices(WORDS, k=rng.randint(0, 30)))) for i in range(150)] + [("null", None), ("none", ""), (None, "W1 w2"), (None, "w1 w1 É_é")]
+    docs += [("d003", docs[3][1]), ("d004", "w1 w2 w1"), ("d005", None), ("half", "a"), *((f"e{i}", "common w1") for i in range(160))]
+    asked = [(f"q{i}", " ".join(rng.choices(WORDS[:30], k=4))) for i in range(20)] + [("empty", ""), ("null", None), ("other", "zzz"), (None, "É_É w7"), ("q1", "w2 w2"), ("common", "common")]
+    q = spark.createDataFrame(asked, "q string, question string")
+    for rows in (docs, docs[:150], docs[150:152]):
+        d = spark.createDataFrame(rows, "doc string, text string")
+        scores = retrieval.bm25_scores(d, "doc", "text", q, "q", "question").groupBy("q").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.sum("score").alias("total"))
+        want = {r.q: (r.n, r.best, r.total) for r in scores.collect()}
+        for cells, most in ((1 << 21, retrieval.WEIGHTS), (40, 9)):
+            totals = retrieval.bm25_totals(d, "doc", "text", q, "q", "question", cells, most)
+            got = {r.q: (r.documents, r.best, r.total) for r in totals.collect()}
+            assert got.keys() == want.keys() and all(math.isclose(x, y, abs_tol=1e-4) for k in got for x, y in zip(got[k], want[k], strict=True))
+        assert bool(got) == (len(rows) > 2)
+
+
 def test_cosine_in_small_blocks_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     v = rng.integers(-3, 4, (120, 5)).astype(float) + 0.5
